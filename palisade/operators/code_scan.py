@@ -70,5 +70,7 @@ def mask_code_lines(hits: DataFrame, rules: Sequence[Rule] = CODE_RULES) -> Data
 
 def code_findings(files: DataFrame, stacks: DataFrame, rules: Sequence[Rule] = CODE_RULES) -> DataFrame:
     """First finding per file and rule, gated by stack."""
-    hits = stack_gate(scan_code_lines(files, rules, first_only=True), stacks)
+    hits = scan_code_lines(files, rules, first_only=True)
+    if any(r.stack for r in rules):
+        hits = stack_gate(hits, stacks)
     return as_findings(mask_code_lines(hits, rules), "code")
