@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.checks.snippets import CODE_EXAMPLES, ENV_LINES
+from palisade.rules.code import CODE_RULES
 from palisade.rules.datastores import AUTH_COMBOS, CRITICAL_TABLES
 from palisade.session import prepare
 from palisade.sources.captures import parse_header_block
+from palisade.sources.files import spread
 
 
 def text_sql(text: str) -> str:
@@ -69,6 +71,7 @@ def fill_sql(template: str, seed: str) -> str:
 _EXTS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".vue", ".svelte", ".py", ".php", ".rb", ".go", ".java",
          ".cs", ".rs", ".kt", ".scala", ".json", ".md", ".html")
 _SNIPPETS = [s for pair in CODE_EXAMPLES.values() for s in pair]
+_STACK_SNIPPETS = [s for r in CODE_RULES if r.stack for s in CODE_EXAMPLES[r.rule_id]]
 _ENV_NAMES = ((".env", ""), (".env.local", ".local"), (".env.production", ".production"), ("env.local", ".local"),
               (".envrc", ""), (".env.staging", ".staging"), (".env.test", ".test"))
 _TABLE_CALLS = (
@@ -181,7 +184,7 @@ def _files_sql() -> str:
       SELECT project_id, concat(folder, 'f', CAST(doc_id AS STRING), ext) AS path,
              concat('f', CAST(doc_id AS STRING), ext) AS name, ext,
              concat(text, brk, {fill_sql('s1', "concat('c', doc_id)")}, brk, '  ', {fill_sql('s2', "concat('d', doc_id)")},
-                    brk, {fill_sql('s3', "concat('e', doc_id)")}, brk, call, brk, pinned) AS content
+                    brk, {fill_sql('s3', "concat('e', doc_id)")}, brk, s4, brk, call, brk, pinned) AS content
       FROM (SELECT d.*, {nl} AS brk,
               CASE WHEN doc_id % 11 = 0 THEN 'node_modules/x/' WHEN doc_id % 11 = 1 THEN 'dist/'
                    WHEN doc_id % 11 = 2 THEN 'app/build/api/' ELSE 'src/lib/' END AS folder,
@@ -192,6 +195,7 @@ def _files_sql() -> str:
       {_pick('s1', 'a', _SNIPPETS, f'doc_id % {n}')}
       {_pick('s2', 'b', _SNIPPETS, f'(doc_id * 5 + 11) % {n}')}
       {_pick('s3', 'c', _SNIPPETS, f'(doc_id * 11 + 5) % {n}')}
+      {_pick('s4', 'g', _STACK_SNIPPETS, f'doc_id % {len(_STACK_SNIPPETS)}')}
       {_pick('call', 't', _TABLE_CALLS, f'doc_id % {len(_TABLE_CALLS)}')}"""
     root_env = f"""
       SELECT project_id, '.env' AS path, '.env' AS name, '' AS ext,
@@ -316,7 +320,7 @@ class Inputs:
         self.spark, self.sf_dir = prepare(spark), sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def _derived(self, name: str) -> DataFrame:
         source = _READS[name]

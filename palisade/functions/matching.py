@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.text import LINE_BREAK
+from palisade.functions.text import LINE_BREAK, each
 from palisade.rules.model import Rule
 
 
@@ -60,11 +60,16 @@ def first_match_lines(rules: Sequence[Rule], lines: str) -> Column:
 
 
 def any_may_match(rules: Sequence[Rule], text: str) -> Column:
-    """False only if no rule of the table can match anywhere in the named column."""
+    """False only if no rule of the table can match anywhere in the named column.
+
+    The text and its lower case are bound once, as a lambda body the many tests also stay out of generated
+    code, where they would exceed the size that is compiled to machine code.
+    """
     if any(not r.anchors and not r.gate for r in rules):
         return F.lit(True)
-    tests = dict.fromkeys(_may_match(r, text, f"lower({text})") for r in rules)
-    return F.expr(" OR ".join(tests))
+    # short literals first: they are the likeliest to end the search in files that do need a scan
+    tests = sorted({_may_match(r, "t.raw", "t.low") for r in rules}, key=lambda t: (len(t), t))
+    return F.expr(f"exists(array(named_struct('raw', {text}, 'low', lower({text}))), t -> {' OR '.join(tests)})")
 
 
 def distinct_starts(rules: Sequence[Rule], text: str, size: int) -> Column:
@@ -87,7 +92,7 @@ def rule_fields(rules: Sequence[Rule], order: str, names=("rule_id", "severity",
     """Columns of the rule at the 1-based position in the named column."""
     def pick(name: str) -> Column:
         values = ", ".join("CAST(NULL AS STRING)" if getattr(r, name) is None else quote(getattr(r, name)) for r in rules)
-        return F.expr(f"element_at(array({values}), {order})").alias(name)
+        return F.expr(f"get(array({values}), {order} - 1)").alias(name)
     return [pick(n) for n in names]
 
 
@@ -114,8 +119,7 @@ def file_hits(files: DataFrame, rules: Sequence[Rule], applies: Callable[[Rule],
     per_rule = F.expr("filter(array(" + ", ".join(found(i, r) for i, r in enumerate(rules, 1)) + "), s -> size(s.hits) > 0)")
     kept = [c for c in files.columns if c not in ("content", "lines")]
     return (
-        files.withColumn("_lowered", F.lower("content"))
-        .select(*kept, F.explode(per_rule).alias("_rule"))
+        each(files.withColumn("_lowered", F.lower("content")), per_rule, "_rule", *kept)
         .select(*kept, F.col("_rule.rule_order").alias("rule_order"), F.explode("_rule.hits").alias("_hit"))
         .select(*kept, "rule_order", *rule_fields(rules, "rule_order"),
                 F.col("_hit.line").alias("line"), F.col("_hit.text").alias("text"))

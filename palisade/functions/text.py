@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # the breaks between two lines of text, and the characters trimmed from both ends
@@ -44,5 +44,17 @@ def one_of(text: Column, literals) -> Column:
 
 
 def lit_array(values) -> Column:
-    """A literal array; Catalyst folds it to one constant."""
+    """A literal array; Catalyst folds it to one constant.
+
+    Look up with ``F.get``: ``element_at`` counts as never null here, even for a null position.
+    """
     return F.array(*[F.lit(v) for v in values])
+
+
+def each(df: DataFrame, array: Column, name: str, *keep) -> DataFrame:
+    """One row per element of a computed array.
+
+    The outer form is used on purpose: for the inner form Spark adds a filter on the array's size below the
+    generator, which would compute the array twice.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

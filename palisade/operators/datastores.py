@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.text import lit_array, strip
+from palisade.functions.text import each, lit_array, strip
 from palisade.operators.credentials import credential_summary
 from palisade.operators.env_scan import env_values, explode_lines
 from palisade.rules.datastores import (
@@ -64,11 +64,11 @@ def value_hits(files: DataFrame) -> DataFrame:
                   for i, (p, _, _) in enumerate(VALUE_PATTERNS, 1)]),
         lambda s: s["v"].isNotNull())
     return (
-        select_files(files, "datastore").filter(text.contains("://") | text.rlike("eyJ|AIza|fnAETA"))
-        .select("project_id", "path", F.explode(found).alias("h"))
+        each(select_files(files, "datastore").filter(text.contains("://") | text.rlike("eyJ|AIza|fnAETA")),
+             found, "h", "project_id", "path")
         .select("project_id", "path", F.col("h.n").alias("pattern_no"),
-                F.element_at(lit_array([t for _, t, _ in VALUE_PATTERNS]), F.col("h.n")).alias("type"),
-                F.element_at(lit_array([f for _, _, f in VALUE_PATTERNS]), F.col("h.n")).alias("field"),
+                F.get(lit_array([t for _, t, _ in VALUE_PATTERNS]), F.col("h.n") - 1).alias("type"),
+                F.get(lit_array([f for _, _, f in VALUE_PATTERNS]), F.col("h.n") - 1).alias("field"),
                 F.col("h.v").alias("value"))
     )
 
@@ -139,7 +139,7 @@ def datastore_by_response(responses: DataFrame) -> DataFrame:
     key, fb_key, mongo = 1, 3, len(BODY_TYPE_PATTERNS) - 1
     url = F.coalesce(*[F.when(F.col("_n") == i, _found(body, p)) for i, (p, _) in enumerate(BODY_TYPE_PATTERNS)
                        if i not in (key, fb_key, mongo)])
-    by_body = F.element_at(lit_array([t for _, t in BODY_TYPE_PATTERNS]), F.col("_n") + 1)
+    by_body = F.get(lit_array([t for _, t in BODY_TYPE_PATTERNS]), F.col("_n"))
     return (
         responses.withColumn("_n", decided).withColumn("type", F.coalesce(by_body, *by_header))
         .filter(F.col("type").isNotNull())
@@ -262,8 +262,7 @@ def datastore_hints(datastores: DataFrame) -> DataFrame:
                      "Prisma med SQLite – ikke egnet til produktionsbrug",
                      "Skift til PostgreSQL, MySQL eller andet produktionssystem"))
     return as_findings(
-        datastores.withColumn("_key", key)
-        .select("project_id", F.explode(F.filter(F.array(*rows), lambda h: h.isNotNull())).alias("h"))
+        each(datastores.withColumn("_key", key), F.filter(F.array(*rows), lambda h: h.isNotNull()), "h", "project_id")
         .select("project_id", "h.*"), "datastore")
 
 
@@ -280,5 +279,5 @@ def client_key_exposure(datastores: DataFrame) -> DataFrame:
             F.lit("Firebase API-nøgle fundet i klientkode").alias("description"),
             F.concat(F.lit("Key: "), F.substring("firebase_api_key", 1, 20), F.lit("...")).alias("detail"))))
     return as_findings(
-        datastores.select("project_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
+        each(datastores, F.filter(rows, lambda r: r.isNotNull()), "r", "project_id")
         .select("project_id", "r.*", F.lit("warning").alias("severity")), "datastore")

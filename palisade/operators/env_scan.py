@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.matching import first_match, rule_fields
-from palisade.functions.text import numbered_lines, strip, unquote
+from palisade.functions.text import each, numbered_lines, strip, unquote
 from palisade.rules.secrets import ENV_FORMATS, ENV_KEY_NAMES, PLACEHOLDERS
 from palisade.schema import as_findings
 from palisade.sources.files import projects_of, select_files
@@ -22,7 +22,7 @@ _LAST_LISTED = {".env": 0, "env.local": 2, ".env.local": 3, ".env.development":
 def explode_lines(files: DataFrame) -> DataFrame:
     """``project_id, path, line, text``: numbered lines (PF-1)."""
     keep = [c for c in files.columns if c != "content"]
-    return (files.select(*keep, F.explode(numbered_lines(F.col("content"))).alias("_l"))
+    return (each(files, numbered_lines(F.col("content")), "_l", *keep)
             .select(*keep, F.col("_l.line").alias("line"), F.col("_l.text").alias("text")))
 
 
@@ -147,7 +147,7 @@ def env_findings(files: DataFrame) -> DataFrame:
     text = F.col("text")
     orders = F.array(first_match(ENV_FORMATS, "text"), first_match(ENV_KEY_NAMES, "text") + len(ENV_FORMATS))
     hits = (
-        lines.select("*", F.explode(F.array_compact(orders)).alias("rule_order"))
+        each(lines, F.array_compact(orders), "rule_order", "*")
         .select("project_id", "file", "line", *rule_fields(ENV_FORMATS + ENV_KEY_NAMES, "rule_order"),
                 mask_env_line(text).alias("detail"))
     )

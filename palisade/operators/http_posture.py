@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.rules.web import (
     COOKIE_TEXTS, CORS_CREDENTIALS, CSP_RULES, FINGERPRINTS, HEADER_RULES, HSTS_MIN_AGE, HSTS_NO_SUBDOMAINS,
 )
-from palisade.functions.text import SPACE
+from palisade.functions.text import SPACE, each
 from palisade.schema import as_findings
 
 
@@ -25,8 +25,7 @@ def _hit(test: Column, rule_id: str, name: str, severity: str, text, detail: Col
 
 def _findings(responses: DataFrame, hits: list[Column]) -> DataFrame:
     return as_findings(
-        responses.select("project_id", F.col("url").alias("source"),
-                         F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
+        each(responses, F.filter(F.array(*hits), lambda h: h.isNotNull()), "h", "project_id", F.col("url").alias("source"))
         .select("project_id", "source", "h.*"), "http")
 
 
@@ -123,7 +122,7 @@ def service_fingerprint(responses: DataFrame) -> DataFrame:
         F.when(F.map_contains_key("headers", name),
                F.struct(F.lit(service).alias("service"), F.lit(f"header: {name}").alias("via")))
         for service, name in FINGERPRINTS]), lambda s: s.isNotNull())
-    return responses.select("project_id", "url", F.explode(found).alias("s")).select("project_id", "url", "s.*")
+    return each(responses, found, "s", "project_id", "url").select("project_id", "url", "s.*")
 
 
 def posture_summary(responses: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.text import each
+
 WINDOW = 16
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
@@ -68,13 +70,12 @@ def literal_occurrences(texts: DataFrame, values: DataFrame, text_id: list[str],
 def _join_windows(texts: DataFrame, keys: DataFrame, text_id: list[str], pattern: str, size: int,
                   broadcast: bool, salts: int) -> DataFrame:
     if broadcast:
-        windows = texts.select("project_id", *text_id, "text",
-                               F.explode(_windows(F.col("text"), pattern, size)).alias("_w"))
+        windows = each(texts, _windows(F.col("text"), pattern, size), "_w", "project_id", *text_id, "text")
         return (windows.join(F.broadcast(keys), ["project_id", "_w"])
                 .filter(F.col("text").contains(F.col("value")))
                 .select("project_id", *text_id, "text", "value"))
     # shuffle the windows without the text, then fetch the text of the candidates only
-    spread = (texts.select("project_id", *text_id, F.explode(_windows(F.col("text"), pattern, size)).alias("_w"))
+    spread = (each(texts, _windows(F.col("text"), pattern, size), "_w", "project_id", *text_id)
               .withColumn("_salt", F.pmod(F.xxhash64(*text_id), F.lit(salts)).cast("int")))
     copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     pairs = spread.join(copies, ["project_id", "_w", "_salt"]).select("project_id", *text_id, "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.text import lit_array
+from palisade.functions.text import each, lit_array
 from palisade.rules.datastores import AUTH_COMBOS, CRITICAL_TABLES, QUERY_CALL_PATTERNS
 from palisade.schema import as_findings
 from palisade.sources.files import select_files
@@ -17,7 +17,7 @@ def table_references(files: DataFrame) -> DataFrame:
         F.regexp_extract_all("content", F.lit(p), F.lit(group)) for p, group in QUERY_CALL_PATTERNS]))
     kept = F.array_distinct(F.transform(
         F.filter(names, lambda n: (F.length(n) > 1) & ~n.startswith("_")), F.lower))
-    return (select_files(files, "query_code").select("project_id", F.explode(kept).alias("table_name")).distinct())
+    return each(select_files(files, "query_code"), kept, "table_name", "project_id").distinct()
 
 
 def tables_to_probe(projects: DataFrame, references: DataFrame) -> DataFrame:

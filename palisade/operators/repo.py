@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.matching import all_matches, rule_fields
-from palisade.functions.text import numbered_lines, strip
+from palisade.functions.text import each, numbered_lines, strip
 from palisade.rules.model import Rule
 from palisade.rules.secrets import COMMIT_RULES, CRITICAL_IGNORES, REQUIRED_IGNORES
 from palisade.schema import as_findings
@@ -50,10 +50,8 @@ def ignore_coverage(files: DataFrame) -> DataFrame:
         F.lit(".gitignore fil mangler helt").alias("description"),
         F.lit("Opret en .gitignore fil omgående – alle .env-filer er i fare").alias("detail"))
     gaps = F.filter(F.array(*[lacking(r) for r in REQUIRED_IGNORES]), lambda g: g.isNotNull())
-    return as_findings(
-        root.withColumn("_lines", lines)
-        .select("project_id", F.explode(F.when(F.col("content").isNull(), F.array(missing)).otherwise(gaps)).alias("g"))
-        .select("project_id", "g.*"), "repo")
+    found = F.when(F.col("content").isNull(), F.array(missing)).otherwise(gaps)
+    return as_findings(each(root.withColumn("_lines", lines), found, "g", "project_id").select("project_id", "g.*"), "repo")
 
 
 def tracked_env_files(tracked: DataFrame) -> DataFrame:
@@ -77,8 +75,7 @@ def scan_commit_patches(lines: DataFrame, rules: Sequence[Rule] = COMMIT_RULES,
     if changes is not None:
         lines = lines.filter(F.col("change").isin(*changes))
     return (
-        lines.select("project_id", "commit_sha", "commit_rank", "path", "line_no",
-                     F.explode(all_matches(rules, "line")).alias("rule_order"))
+        each(lines, all_matches(rules, "line"), "rule_order", "project_id", "commit_sha", "commit_rank", "path", "line_no")
         .select("project_id", "commit_sha", "commit_rank", "path", "line_no",
                 *rule_fields(rules, "rule_order"))
     )

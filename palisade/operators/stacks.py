@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.text import each
 from palisade.rules.stacks import JS_STACKS, PHP_STACKS, PYTHON_STACKS
 from palisade.sources.manifests import manifest_dependencies
 
@@ -35,8 +36,8 @@ def stack_from_text(files: DataFrame) -> DataFrame:
     found = F.filter(
         F.array(*[F.when(text.contains(sig), F.lit(stack)) for stack, sig in PYTHON_STACKS.items()]),
         lambda s: s.isNotNull())
-    return (files.filter(F.col("path").isin("requirements.txt", "pyproject.toml"))
-            .select("project_id", F.explode(found).alias("stack")).distinct())
+    named = files.filter(F.col("path").isin("requirements.txt", "pyproject.toml"))
+    return each(named, found, "stack", "project_id").distinct()
 
 
 def project_stacks(files: DataFrame) -> DataFrame:

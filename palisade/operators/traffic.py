@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.matching import distinct_starts, rule_fields
+from palisade.functions.text import each
 from palisade.operators.occurrences import literal_occurrences
 from palisade.rules.model import Rule
 from palisade.rules.secrets import (
@@ -73,8 +74,7 @@ def traffic_texts(traffic: DataFrame) -> DataFrame:
         text("body", F.concat(F.lit("response ["), F.substring("url", 1, 60), F.lit("]")),
              F.when(is_scannable(), F.col("body"))))
     return (
-        traffic.select("project_id", F.col("request_id").alias("text_id"), "ts",
-                       F.explode(F.filter(parts, _scanned)).alias("p"))
+        each(traffic, F.filter(parts, _scanned), "p", "project_id", F.col("request_id").alias("text_id"), "ts")
         .select("project_id", "text_id", "ts", "p.*")
     )
 
@@ -124,7 +124,7 @@ def page_fragments(pages: DataFrame) -> DataFrame:
             ("window.ENV/config", r"(?s)window\.(?:ENV|env|config|CONFIG)\s*=\s*(\{.*?\})\s*(?:;|</script>)"),
         )])
     texts = F.concat(inline, F.filter(F.concat(metas, data, states), _scanned))
-    return (pages.select("project_id", F.col("page_id").alias("text_id"), F.explode(texts).alias("p"))
+    return (each(pages, texts, "p", "project_id", F.col("page_id").alias("text_id"))
             .select("project_id", "text_id", "p.*"))
 
 
@@ -142,8 +142,7 @@ def scan_text_secrets(texts: DataFrame, rules: Sequence[Rule] = TRAFFIC_SECRETS)
     where = F.concat(F.lit("Fundet i: "), F.col("source"), F.lit(" | Mønster: "),
                      F.substring("match", 1, PREVIEW), F.lit("***"))
     return (
-        texts.filter(F.col("kind") != "url")
-        .select(*keep, F.explode(secret_matches("text", rules)).alias("m"))
+        each(texts.filter(F.col("kind") != "url"), secret_matches("text", rules), "m", *keep)
         .select(*keep, *rule_fields(rules, "m.rule_order"), F.col("m.match").alias("match"))
         .withColumn("detail", where).withColumn("dynamic_match", F.lit(False))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.text import each
 from palisade.rules.stacks import PORT_PATTERN, PORT_SCRIPTS, PROJECT_FILES
 
 _MANIFESTS = {
@@ -21,10 +22,8 @@ def manifest_dependencies(files: DataFrame) -> DataFrame:
         parsed = files.filter(F.col("path") == name).select(
             "project_id", F.from_json("content", schema).alias("m"))
         keys = [F.coalesce(F.map_keys(F.col(f"m.`{s}`")), F.array().cast("array<string>")) for s in sections]
-        deps = parsed.select(
-            "project_id", F.lit(ecosystem).alias("ecosystem"),
-            F.explode(F.array_union(*keys)).alias("dep"),
-        ).withColumn("dep", F.lower("dep"))
+        deps = each(parsed, F.array_union(*keys), "dep", "project_id", F.lit(ecosystem).alias("ecosystem"))
+        deps = deps.withColumn("dep", F.lower("dep"))
         out = deps if out is None else out.unionByName(deps)
     return out.distinct()
 
