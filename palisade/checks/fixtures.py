@@ -88,9 +88,9 @@ _PACKAGES = (
     '{"scripts": {"dev": "next dev -p 4100"}, "dependencies": {"next": "14", "React": "18", "prisma": "5"}}',
     '{"scripts": {"start": "PORT=5050 node ."}, "dependencies": {"vue": "3"}, "devDependencies": {"vite": "5", "vue": "3"}}',
     '{"dependencies": {"svelte": "4", "@sveltejs/kit": "2"}, "scripts": {"serve": "x --port 999", "preview": "x --port 6006"}}',
+    '{"name": "empty"}',
     '{"dependencies": {"expo": "50", "graphql": "16"}, "scripts": {"postinstall": "curl x"}}',
     '{"dependencies": {"express": "4", "@trpc/server": "10"}',
-    '{"name": "empty"}',
 )
 
 # (modulus, remainder, path, name, ext, template) of files at the root of a project
@@ -104,7 +104,7 @@ _ROOT_FILES = [
     (7, 2, "composer.json", "composer.json", ".json",
      '{"require": {"php": "8", "laravel/framework": "11"}, "require-dev": {"symfony/framework-bundle": "7"}}'),
     (9, 4, "Cargo.toml", "Cargo.toml", ".toml", "[package]\n"),
-    (3, 0, ".env.example", ".env.example", ".example", "APP_KEY=your_key\n"),
+    (4, 0, ".env.example", ".env.example", ".example", "APP_KEY=your_key\n"),
     (7, 1, ".env.vault", ".env.vault", ".vault", "VAULT_BLOB=<h40>\n"),
     (9, 1, ".env.keys", ".env.keys", ".keys", "VAULT_KEY=<h32>\n"),
     (5, 0, "prisma/schema.prisma", "schema.prisma", ".prisma",
@@ -114,7 +114,7 @@ _ROOT_FILES = [
     (10, 2, "db/schema.prisma", "schema.prisma", ".prisma", "datasource db {\n provider = \"oracle\"\n}\n"),
     (15, 7, "node_modules/p/schema.prisma", "schema.prisma", ".prisma", "provider = \"mysql\"\n"),
     (6, 1, "drizzle.config.ts", "drizzle.config.ts", ".ts", "export default { dialect: 'mysql' }\n"),
-    (12, 3, "drizzle.config.js", "drizzle.config.js", ".js", "import { x } from 'drizzle-kit'\n"),
+    (12, 4, "drizzle.config.js", "drizzle.config.js", ".js", "import { x } from 'drizzle-kit'\n"),
     (4, 3, "vercel.json", "vercel.json", ".json",
      '{"env": {"A": "https://<h16>.supabase.co", "B": "rediss://x.upstash.io:6379", "C": "AIza<h32>abc"}}'),
     (6, 5, "fly.toml", "fly.toml", ".toml", "url = \"postgres://a:b@h/db\"\nm = \"mongodb+srv://a:b@c.example/d\"\n"),

@@ -74,7 +74,7 @@ def traffic_texts(traffic: DataFrame) -> DataFrame:
         text("body", F.concat(F.lit("response ["), F.substring("url", 1, 60), F.lit("]")),
              F.when(is_scannable(), F.col("body"))))
     return (
-        each(traffic, F.filter(parts, _scanned), "p", "project_id", F.col("request_id").alias("text_id"), "ts")
+        each(traffic, F.filter(parts, lambda p: _scanned(p)), "p", "project_id", F.col("request_id").alias("text_id"), "ts")
         .select("project_id", "text_id", "ts", "p.*")
     )
 
@@ -123,7 +123,7 @@ def page_fragments(pages: DataFrame) -> DataFrame:
             ("window.__REMIX_DATA__", r"(?s)window\.__remixContext\s*=\s*(.*?)\s*;?\s*</script>"),
             ("window.ENV/config", r"(?s)window\.(?:ENV|env|config|CONFIG)\s*=\s*(\{.*?\})\s*(?:;|</script>)"),
         )])
-    texts = F.concat(inline, F.filter(F.concat(metas, data, states), _scanned))
+    texts = F.concat(inline, F.filter(F.concat(metas, data, states), lambda p: _scanned(p)))
     return (each(pages, texts, "p", "project_id", F.col("page_id").alias("text_id"))
             .select("project_id", "text_id", "p.*"))
 
