@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -313,6 +315,15 @@ _READS = {"fx_files": "documents", "fx_commits": "documents", "fx_probes": "docu
           "fx_pages": "pages", "fx_traffic": "events"}
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared place the cluster names; local runs use the system's own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/palisade-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="palisade-")
+
+
 class Inputs:
     """The derived tables as DataFrames."""
 
@@ -323,6 +334,15 @@ class Inputs:
         return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def _derived(self, name: str) -> DataFrame:
+        """The derived table, written once per session as files, so that a query reads a table like any other."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = f"{scratch(self.spark)}/{name}"
+            self.derive(name).write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
+    def derive(self, name: str) -> DataFrame:
         source = _READS[name]
         self.table(source).createOrReplaceTempView(source)
         return self.spark.sql(FIXTURE_SQL[name])

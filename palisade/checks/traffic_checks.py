@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.checks.fixtures import values_sql
+from palisade.checks.fixtures import scratch
 from palisade.checks.registry import check
 from palisade.checks.sql import BLOCKS, in_list, lit, match, rules_table, with_
 from palisade.operators import traffic as tr
@@ -183,14 +180,6 @@ def _(inp):
 # ------------------------------------------------------------------ streams
 
 
-def scratch(spark) -> str:
-    """A new folder in the shared place the cluster names; local runs use the system's own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="palisade-")
-    return f"{shared.rstrip('/')}/palisade-{uuid.uuid4().hex}"
-
-
 def through_stream(inp, job) -> DataFrame:
     """Write the traffic as files, run ``job`` over them as a stream to its end, and read what it wrote."""
     folder = scratch(inp.spark)
