@@ -23,7 +23,6 @@ from palisade.rules.code import CODE_RULES
 from palisade.rules.datastores import AUTH_COMBOS, CRITICAL_TABLES
 from palisade.session import prepare
 from palisade.sources.captures import parse_header_block
-from palisade.sources.files import spread
 
 
 def text_sql(text: str) -> str:
@@ -331,14 +330,25 @@ class Inputs:
         self.spark, self.sf_dir = prepare(spark), sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        """A supplied table; one of fewer splits than cores is written out once in as many files as cores.
+
+        A filter would move below a mere repartition, into the one task that reads the file.
+        """
+        given = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if given.rdd.getNumPartitions() >= cores:
+            return given
+        return self._stored(name, lambda: given.repartition(cores))
 
     def _derived(self, name: str) -> DataFrame:
         """The derived table, written once per session as files, so that a query reads a table like any other."""
+        return self._stored(name, lambda: self.derive(name))
+
+    def _stored(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STORED:
             path = f"{scratch(self.spark)}/{name}"
-            self.derive(name).write.parquet(path)
+            build().write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 

@@ -21,17 +21,16 @@ def hardcoded_env_values(files: DataFrame, env_vars: DataFrame | None = None,
     One finding per variable and file, at the first line.
     """
     variables = last_env_value(env_values(files) if env_vars is None else env_vars)
-    variables = variables.filter(F.length("value") >= MIN_LITERAL)
+    variables = variables.filter(F.length("value") >= MIN_LITERAL).drop("first_seen")
     texts = select_files(files, "literal").select(
         "project_id", F.col("path").alias("file"), F.col("content").alias("text"))
     found = literal_occurrences(texts, variables, ["file"], size=MIN_LITERAL, broadcast=broadcast)
     lines = numbered_lines(F.col("text"))
     first = F.array_position(F.transform(lines, lambda l: l["text"].contains(F.col("value"))), True)
-    placed = found.select("project_id", "file", "value", first.cast("int").alias("line"))
     name = F.col("key")
     return as_findings(
-        placed.join(variables, ["project_id", "value"]).select(
-            "project_id", "file", "line", F.lit("leak.hardcoded_env").alias("rule_id"),
+        found.select(
+            "project_id", "file", first.cast("int").alias("line"), F.lit("leak.hardcoded_env").alias("rule_id"),
             F.lit("critical").alias("severity"),
             F.concat(F.lit("Hardcodet secret ("), name, F.lit(") fundet i kildekode")).alias("description"),
             F.concat(F.lit("Værdien fra "), F.col("source"),

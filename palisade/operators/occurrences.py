@@ -31,53 +31,53 @@ def _least_window(value: Column, pattern: str, size: int) -> Column:
     return F.array_min(hashed)["w"]
 
 
-def fits_broadcast(values: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure the value side: row overhead and characters against the limit."""
-    size = values.agg(F.sum(F.octet_length("value") + F.octet_length("project_id") + 64)).first()[0]
+def fits_broadcast(keys: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Measure the value side: characters of its text columns and row overhead against the limit."""
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in keys.dtypes if kind == "string"]
+    size = keys.agg(F.sum(sum(text, F.lit(64)))).first()[0]
     return (size or 0) <= limit
 
 
 def literal_occurrences(texts: DataFrame, values: DataFrame, text_id: list[str], size: int = WINDOW,
                         broadcast: bool | None = None, salts: int = SALTS) -> DataFrame:
-    """``project_id, text_id..., text, value`` for every value contained in a text of its project.
+    """``project_id, text_id..., text`` and the columns of ``values``, for every value contained in a text
+    of its project.
 
     ``texts``: ``project_id``, the ``text_id`` columns (a unique key with ``project_id``) and ``text``.
-    ``values``: ``project_id, value``, each at least ``size`` characters long and free of line breaks.
+    ``values``: ``project_id, value`` and any others; each value at least ``size`` characters long and free
+    of line breaks.
     ``broadcast``: ``None`` measures the values and broadcasts them only below the limit; beyond it the
     windows are shuffled by (project, window, salt), so one project or one value that occurs everywhere
     is spread over ``salts`` tasks.
+
+    The values are persisted (memory, then disk): they are read for the measurement and by both branches.
     """
-    distinct = values.select("project_id", "value").distinct()
+    dense, other = _least_window(F.col("value"), _DENSE, size), _least_window(F.col("value"), _ANY, size)
+    keys = (values.withColumn("_dense", dense)
+            .withColumn("_w", F.coalesce("_dense", other)).withColumn("_dense", F.col("_dense").isNotNull())).persist()
     if broadcast is None:
-        broadcast = fits_broadcast(distinct)
-    dense = distinct.withColumn("_w", _least_window(F.col("value"), _DENSE, size))
-    keyed = {
-        _DENSE: dense.filter(F.col("_w").isNotNull()),
-        _ANY: dense.filter(F.col("_w").isNull()).withColumn("_w", _least_window(F.col("value"), _ANY, size)),
-    }
-    out = None
-    for pattern, keys in keyed.items():
-        candidates = texts
-        if pattern == _ANY:
-            # values made of short words are rare: look only at projects that have one
-            owners = keys.select("project_id").distinct()
-            candidates = texts.join(F.broadcast(owners) if broadcast else owners, "project_id", "left_semi")
-        found = _join_windows(candidates, keys, text_id, pattern, size, broadcast, salts)
-        out = found if out is None else out.unionByName(found)
-    return out
+        broadcast = fits_broadcast(keys)
+    spaced = keys.filter(~F.col("_dense"))
+    # values made of short words are rare: look only at projects that have one
+    owners = spaced.select("project_id").distinct()
+    owned = texts.join(F.broadcast(owners) if broadcast else owners, "project_id", "left_semi")
+    return (_join_windows(texts, keys.filter("_dense"), text_id, _DENSE, size, broadcast, salts)
+            .unionByName(_join_windows(owned, spaced, text_id, _ANY, size, broadcast, salts)))
 
 
 def _join_windows(texts: DataFrame, keys: DataFrame, text_id: list[str], pattern: str, size: int,
                   broadcast: bool, salts: int) -> DataFrame:
+    keys = keys.drop("_dense")
+    columns = ["project_id", *text_id, "text", *[c for c in keys.columns if c not in ("project_id", "_w")]]
+    windows = _windows(F.col("text"), pattern, size)
     if broadcast:
-        windows = each(texts, _windows(F.col("text"), pattern, size), "_w", "project_id", *text_id, "text")
-        return (windows.join(F.broadcast(keys), ["project_id", "_w"])
-                .filter(F.col("text").contains(F.col("value")))
-                .select("project_id", *text_id, "text", "value"))
+        return (each(texts, windows, "_w", "project_id", *text_id, "text")
+                .join(F.broadcast(keys), ["project_id", "_w"])
+                .filter(F.col("text").contains(F.col("value"))).select(*columns))
     # shuffle the windows without the text, then fetch the text of the candidates only
-    spread = (each(texts, _windows(F.col("text"), pattern, size), "_w", "project_id", *text_id)
+    spread = (each(texts, windows, "_w", "project_id", *text_id)
               .withColumn("_salt", F.pmod(F.xxhash64(*text_id), F.lit(salts)).cast("int")))
     copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = spread.join(copies, ["project_id", "_w", "_salt"]).select("project_id", *text_id, "value")
+    pairs = spread.join(copies, ["project_id", "_w", "_salt"])
     return (texts.join(pairs, ["project_id", *text_id])
-            .filter(F.col("text").contains(F.col("value"))).select("project_id", *text_id, "text", "value"))
+            .filter(F.col("text").contains(F.col("value"))).select(*columns))

@@ -161,10 +161,10 @@ def env_value_exposure(texts: DataFrame, patterns: DataFrame, broadcast: bool |
     ``patterns`` is the output of ``eligible_env_values``.  See ``literal_occurrences`` for the join.
     """
     extra = [c for c in ("ts",) if c in texts.columns]
-    found = literal_occurrences(texts, patterns, _TEXT_ID + extra, size=MIN_EXPOSED, broadcast=broadcast)
-    name, file = F.col("key"), F.col("env_source")
     named = patterns.withColumnRenamed("source", "env_source")
-    return found.select("project_id", *_TEXT_ID, *extra, "value").join(named, ["project_id", "value"]).select(
+    found = literal_occurrences(texts, named, _TEXT_ID + extra, size=MIN_EXPOSED, broadcast=broadcast)
+    name, file = F.col("key"), F.col("env_source")
+    return found.select(
         "project_id", *_TEXT_ID, *extra, F.lit("exposure.env_value").alias("rule_id"), "severity",
         F.concat(name, F.lit(" (fra "), file, F.lit(") eksponeret i browser")).alias("description"),
         F.concat(F.lit("Værdi starter med: "), F.substring("value", 1, PREVIEW), F.lit("*** | Fundet i: "),
@@ -209,7 +209,7 @@ def response_summary(traffic: DataFrame, patterns: DataFrame, broadcast: bool |
     static = F.when(short, F.size(secret_matches("body"))).otherwise(0)
     texts = bodies.filter(short).select("project_id", F.col("request_id").alias("text_id"),
                                         F.lit("").alias("source"), F.col("body").alias("text"))
-    found = literal_occurrences(texts, patterns, _TEXT_ID, size=MIN_EXPOSED, broadcast=broadcast)
+    found = literal_occurrences(texts, patterns.select("project_id", "value"), _TEXT_ID, size=MIN_EXPOSED, broadcast=broadcast)
     hits = found.groupBy("project_id", F.col("text_id").alias("request_id")).agg(F.count(F.lit(1)).alias("_n"))
     return (bodies.select("project_id", "request_id", "url", F.col("body_bytes").alias("size"),
                           static.cast("bigint").alias("secrets_found"))

@@ -32,12 +32,6 @@ def read_file_tree(spark: SparkSession, root: str, glob: str | None = None) -> D
     ))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores, for inputs of fewer splits than cores; larger inputs are left as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def with_name_parts(files: DataFrame) -> DataFrame:
     if "name" not in files.columns:
         files = files.withColumn("name", file_name(F.col("path")))
