@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palisade.checks.fixtures import text_sql, values_sql
+from palisade.checks.fixtures import values_sql
 from palisade.checks.registry import check
-from palisade.checks.sql import BLOCKS, SPACES, in_list, lines_of, lit, profile, strip, with_
+from palisade.checks.sql import BLOCKS, SPACES, lines_of, lit, profile, strip, with_
 from palisade.operators import credentials as cred
 from palisade.operators import datastores as ds
 from palisade.operators import http_posture as http

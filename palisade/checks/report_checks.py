@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.checks.fixtures import scratch, values_sql
 from palisade.checks.live_checks import _ALL_HTTP
 from palisade.checks.registry import check
-from palisade.checks.sql import BLOCKS, first_rule, in_list, lines_of, lit, match, profile, rules_table, strip, with_
+from palisade.checks.sql import BLOCKS, first_rule, lines_of, lit, match, rules_table, strip, with_
 from palisade.checks.static_checks import (
     CODE_LINES, ENV_FINDINGS_SQL, IGNORE_BLOCKS, IGNORE_SQL, LEAKS_SQL, LITERAL_LINES, STACKS, DEPS, TRACKED, TRACKED_SQL,
     VAULT_SQL, _shown, code_hits_sql,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from palisade.checks.fixtures import FIXTURE_SQL, text_sql, values_sql
+from palisade.checks.fixtures import FIXTURE_SQL, values_sql
 from palisade.functions.text import LINE_BREAK
 from palisade.rules.model import Rule, Unless
 from palisade.rules.profiles import PROFILES

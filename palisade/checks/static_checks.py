@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from palisade.checks.fixtures import values_sql
 from palisade.checks.registry import check
 from palisade.checks.sql import (
-    every_rule, first_rule, lines_of, lit, match, placeholder, profile, rules_table, split_lines, strip, unquote, with_,
+    every_rule, first_rule, lines_of, lit, match, placeholder, profile, rules_table, split_lines, strip, with_,
 )
-from palisade.functions.text import LINE_BREAK, numbered_lines
+from palisade.functions.text import LINE_BREAK
 from palisade.operators import code_scan, env_scan, leaks, repo, stacks
 from palisade.operators.scoring import leak_spread
 from palisade.rules.code import CODE_PACKS, CODE_RULES

@@ -13,6 +13,7 @@ from palisade.rules.model import Rule
 from palisade.rules.secrets import COMMIT_RULES, CRITICAL_IGNORES, REQUIRED_IGNORES
 from palisade.schema import as_findings
 from palisade.sources.commits import is_env_path
+from palisade.sources.files import projects_of
 
 
 def _covers(line: Column, required: str) -> Column:
@@ -32,8 +33,9 @@ def ignore_coverage(files: DataFrame) -> DataFrame:
 
     The required lines are literals tested inside the project's row, so nothing is multiplied.
     """
-    root = (files.groupBy("project_id")
-            .agg(F.max(F.when(F.col("path") == ".gitignore", F.col("content"))).alias("content")))
+    # the project list reads one narrow column; the path filter reaches the scan that reads contents
+    root = projects_of(files).join(
+        files.filter(F.col("path") == ".gitignore").select("project_id", "content"), "project_id", "left")
     lines = F.filter(
         F.transform(numbered_lines(F.col("content")), lambda l: strip(l["text"])),
         lambda t: (t != "") & ~t.startswith("#"))

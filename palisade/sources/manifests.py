@@ -34,7 +34,7 @@ def manifest_profile(files: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract(F.get_json_object("content", f"$.scripts.{s}"), PORT_PATTERN, 1), F.lit(""))
         for s in PORT_SCRIPTS
     ]).cast("int")
-    return files.groupBy("project_id").agg(
-        F.bool_or(F.col("path").isin(*PROJECT_FILES)).alias("has_project_file"),
-        F.max(F.when(F.col("path") == "package.json", port)).alias("port_hint"),
-    )
+    # contents are read only where the pushed path filter lets them
+    ports = files.filter(F.col("path") == "package.json").select("project_id", port.alias("port_hint"))
+    named = files.groupBy("project_id").agg(F.bool_or(F.col("path").isin(*PROJECT_FILES)).alias("has_project_file"))
+    return named.join(ports, "project_id", "left")
