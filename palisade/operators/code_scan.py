@@ -31,6 +31,8 @@ def scan_code_lines(files: DataFrame, rules: Sequence[Rule] = CODE_RULES, first_
     wanted = is_code
     if extra:
         wanted = wanted | (F.col("name").isin(*extra) & (F.length("content") <= CODE.max_chars))
+        # implied by the line above, but in a form that reaches the parquet scan
+        files = files.filter(F.col("ext").isin(*CODE.extensions) | F.col("name").isin(*extra))
     prepared = (
         files.filter(wanted).filter(any_may_match(rules, "content"))
         .select("project_id", F.col("path").alias("file"), "name", is_code.alias("_code"), "content",

@@ -180,6 +180,8 @@ def test_whole_fleet(spark):
 
 
 def test_file_filters_reach_the_scan(spark):
-    plan = Inputs(spark, SF).files
-    text = select_files(plan, "env")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [Or(" in text or "PushedFilters: [" in text and "In(name" in text
+    files = Inputs(spark, SF).files
+    text = select_files(files, "env")._jdf.queryExecution().executedPlan().toString()
+    assert "In(name" in text.split("PushedFilters: [")[1]
+    text = code_scan.scan_code_lines(files)._jdf.queryExecution().executedPlan().toString()
+    assert "In(ext" in text.split("PushedFilters: [")[1] and "Exchange" not in text
