@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import language_id, licenses, secret_lexing
+from palisade.llm import embedding_links, language_id, licenses, secret_lexing, toxicity
 from palisade.llm.tables import id_remainder, table
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder(4) == 2, F.lit(False))
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score_toxicity(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"),
+        F.col("toxicity_threshold").alias("threshold"), F.col("toxicity_rejected").alias("rejected"))
+
+
 @query("op6_license_scan")
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -62,3 +73,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined("secret_spans", secret_lexing.KINDS[:3]), 256).alias("base_sha256"),
         _joined("secret_spans", secret_lexing.KINDS).alias("spans"), count["literal"],
         F.coalesce(F.array_max(F.transform("secret_spans", lambda s: s["score"])), F.lit(0.0)).alias("top_score"))
+
+
+@query("op9_embedding_links", sql="""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+    SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.y, e.vec_id)) AS component_id,
+       least(e.vec_id, coalesce(l.y, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts c ON c.x = e.vec_id LEFT JOIN least l ON l.x = e.vec_id
+""")
+def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.embedding_links(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
