@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import embedding_links, language_id, licenses, secret_lexing, toxicity
+from palisade.llm import embedding_links, language_id, licenses, secret_lexing, shingle_join, toxicity
 from palisade.llm.tables import id_remainder, table
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,25 @@ FROM embeddings e LEFT JOIN counts c ON c.x = e.vec_id LEFT JOIN least l ON l.x
 """)
 def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links.embedding_links(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op8_shingle_components", sql="""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ')
+           ELSE array_to_string(words[i:i + 4], ' ') END AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(na.n) + any_value(nb.n) - count(*))),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.x = d.doc_id
+""")
+def op8_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.shingle_components(table(spark, sf_dir, "documents"))
