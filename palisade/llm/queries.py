@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import embedding_links, language_id, licenses, secret_lexing, shingle_join, toxicity
+from palisade.llm import embedding_links, language_id, licenses, line_templates, mixing, pieces, secret_lexing, shingle_join, syncmers, toxicity
 from palisade.llm.tables import id_remainder, table
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,79 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.x = d
 """)
 def op8_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.shingle_components(table(spark, sf_dir, "documents"))
+
+
+@query("op1_mix_sources", sql="""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, coalesce('s' || source, 'n') AS name, coalesce(length(text), 0) AS chars, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents),
+sizes AS (SELECT name, greatest(CAST(floor(sqrt(CAST(sum(chars) AS DOUBLE))) AS BIGINT), 1) AS w FROM d GROUP BY name),
+shares AS (
+    SELECT name, row_number() OVER (ORDER BY name) AS i,
+           greatest(CAST((1000 * w + sum(w) OVER ()) // (2 * sum(w) OVER ()) AS BIGINT), 1) AS share FROM sizes),
+listed AS (SELECT list(share ORDER BY i) AS shares, CAST(sum(share) AS BIGINT) AS period FROM shares),
+edf AS (
+    SELECT CAST(-1 AS BIGINT) AS t, list_transform(shares, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM listed
+    UNION ALL
+    SELECT t + 1, list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = next % 100000 THEN 1 ELSE 0 END), next % 100000
+    FROM (SELECT t, done, list_min(list_transform(
+              list_filter(range(1, len(done) + 1), lambda i: done[i] < shares[i] AND (done[i] * period) // shares[i] <= t + 1),
+              lambda i: (((done[i] + 1) * period + shares[i] - 1) // shares[i]) * 100000 + i)) AS next
+          FROM edf, listed WHERE t + 1 < period)),
+slots AS (SELECT pick AS i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM edf WHERE t >= 0),
+placed AS (
+    SELECT *, (coalesce(sum(chars) OVER (PARTITION BY name ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS mix_offset FROM d),
+blocks AS (SELECT *, CAST(mix_offset AS BIGINT) // 65536 AS mix_block FROM placed)
+SELECT b.doc_id, b.source, CAST(b.mix_offset AS BIGINT) AS mix_offset, b.mix_block,
+       (b.mix_block // s.share) * l.period + (x.turn * l.period) // s.share AS mix_release,
+       (b.mix_block // s.share) * l.period + ((x.turn + 1) * l.period + s.share - 1) // s.share AS mix_deadline,
+       (b.mix_block // s.share) * l.period + x.slot AS mix_slot
+FROM blocks b JOIN shares s ON s.name = b.name JOIN slots x ON x.i = s.i AND x.turn = b.mix_block % s.share, listed l
+""")
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", *mixing.ADDED)
+
+
+@query("op3_line_templates", sql=r"""
+WITH d AS (SELECT doc_id, text, md5(text) AS th, string_split(text, chr(10)) AS parts FROM documents),
+l AS (
+    SELECT doc_id, th, pos, string_split_regex(regexp_replace(regexp_replace(parts[pos], '[^ \t\r\f]*[0-9][^ \t\r\f]*', '<*>', 'g'),
+           '^[ \t\r\f]+|[ \t\r\f]+$', '', 'g'), '[ \t\r\f]+') AS tokens
+    FROM (SELECT doc_id, th, parts, unnest(range(1, len(parts) + 1)) AS pos FROM d)),
+lines AS (SELECT *, len(tokens) AS n, array_to_string(tokens[1:3], ' ') AS head, array_to_string(tokens, ' ') AS masked FROM l WHERE len(tokens) >= 4),
+mixed AS (SELECT n, head FROM lines GROUP BY n, head HAVING min(masked) < max(masked) AND min(th) < max(th)),
+uniq AS (SELECT n, head, masked, any_value(tokens) AS tokens, count(*) AS c FROM lines SEMI JOIN mixed USING (n, head) GROUP BY n, head, masked),
+total AS (SELECT n, head, sum(c) AS total_lines FROM uniq GROUP BY n, head),
+tok AS (SELECT n, head, masked, c, unnest(range(1, n + 1)) AS i, unnest(tokens) AS t FROM uniq),
+constant AS (
+    SELECT n, head, i, t FROM (SELECT n, head, i, t, sum(c) AS has FROM tok GROUP BY n, head, i, t) JOIN total USING (n, head)
+    WHERE has >= 2 AND has >= total_lines * CAST(0.2 AS DOUBLE)),
+kept AS (SELECT n, head, masked, count(*) AS k, string_agg(i || ':' || t, ' ' ORDER BY i) AS kept FROM tok SEMI JOIN constant USING (n, head, i, t) GROUP BY n, head, masked),
+templates AS (SELECT masked, n || '/' || head || '/' || kept AS template FROM kept WHERE k >= n * CAST(0.6 AS DOUBLE)),
+keyed AS (SELECT doc_id, th, pos, coalesce(template, 'exact ' || masked) AS template FROM lines LEFT JOIN templates USING (masked)),
+recurring AS (SELECT template, min(doc_id * 1000000 + pos) AS place FROM keyed GROUP BY template HAVING min(th) < max(th)),
+gone AS (SELECT doc_id, pos FROM keyed JOIN recurring USING (template) WHERE doc_id * 1000000 + pos <> place),
+cut AS (SELECT doc_id, list(pos) AS ats FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(d.parts), 0) AS n_lines, coalesce(len(c.ats), 0) AS n_dropped,
+       md5(CASE WHEN c.ats IS NULL THEN d.text
+           ELSE array_to_string(list_transform(list_filter(range(1, len(d.parts) + 1), lambda i: NOT list_contains(c.ats, i)), lambda i: d.parts[i]), chr(10)) END) AS kept_md5
+FROM d LEFT JOIN cut c USING (doc_id)
+""")
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+@query("op4_sentence_pieces")
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.load_vocabulary()
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    encoded = pieces.encode_pieces(docs, vocabulary, keep=["doc_id", "text"])
+    decoded = pieces.decode_pieces(encoded, vocabulary)
+    return decoded.select("doc_id", F.length("text").cast("long").alias("n_chars"), "n_pieces", F.xxhash64("piece_ids").alias("ids_hash"),
+                          (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+@query("op5_syncmers")
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
