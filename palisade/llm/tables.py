@@ -16,9 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="palisade-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palisade-llm-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
