@@ -156,6 +156,8 @@ _LEAKS = (
     "ghp_<h32>abcd ghp_<h32>abcd ghp_<h32>wxyz", "sk_live_<h32>", "whsec_<h32>", "xoxb-1-2-<h16>", "hf_<h32>ab", "npm_<h32>abcd",
     "postgres://app:<h8>@db.example/a and postgres://two:<h16>@db.example/b", "my SERVICE_ROLE key", "vercel_<h32>",
     "<jwt_long>", "https://<h16>.SUPABASE.co",
+    # two tokens of one issuer: alike for longer than any prefix one might compare
+    "<jwt_long>.<h8> <jwt_long>.<h16>",
 )
 _HEAD_PARTS = (
     '<meta name="api" content="sk-<h32>">', '<div class="x" data-key="AKIA<H16>" data-user=\'u-<h8>\' id="k"></div>',
@@ -184,7 +186,7 @@ def _files_sql() -> str:
     code = f"""
       SELECT project_id, concat(folder, 'f', CAST(doc_id AS STRING), ext) AS path,
              concat('f', CAST(doc_id AS STRING), ext) AS name, ext,
-             concat(text, brk, {fill_sql('s1', "concat('c', doc_id)")}, brk, '  ', {fill_sql('s2', "concat('d', doc_id)")},
+             concat(text, brk, {fill_sql('s1', "concat('c', doc_id)")}, brk, CASE WHEN doc_id = 60 THEN repeat(concat(repeat('-', 99), chr(10)), 11000) ELSE '' END, '  ', {fill_sql('s2', "concat('d', doc_id)")},
                     brk, {fill_sql('s3', "concat('e', doc_id)")}, brk, s4, brk, call, brk, pinned) AS content
       FROM (SELECT d.*, {nl} AS brk,
               CASE WHEN doc_id % 11 = 0 THEN 'node_modules/x/' WHEN doc_id % 11 = 1 THEN 'dist/'
@@ -269,13 +271,15 @@ def _traffic_sql() -> str:
       FROM (SELECT project_id, event_id AS request_id, ts,
               CASE WHEN event_type = 'purchase' THEN 'POST' ELSE 'GET' END AS method,
               concat({fill_sql('u1', "concat('u', user_id)")}, CAST(user_id % 50 AS STRING),
-                     CASE WHEN event_id % 59 = 3 THEN concat('&k=', {salt}) ELSE '' END) AS url,
+                     CASE WHEN event_id % 59 = 3 THEN concat('&k=', {salt}) ELSE '' END,
+                     CASE WHEN event_id % 47 = 4 THEN concat('&pad=', repeat('p', 80), CAST(event_id AS STRING)) ELSE '' END) AS url,
               event_type AS resource_type,
               concat('accept: */*', chr(10), 'x-user: ', CAST(user_id AS STRING),
                      CASE WHEN event_id % 43 = 2 THEN concat(chr(10), 'authorization: Bearer ', {salt})
                           WHEN event_id % 47 = 4 THEN concat(chr(10), 'apikey: sk-', md5(concat('h', user_id))) ELSE '' END) AS header_block,
               content_type,
               concat('{{"event": "', event_type, '", "props": ', props, '}}',
+                     CASE WHEN event_id = 205 THEN repeat('some longer text ', 32000) WHEN event_id = 410 THEN repeat('some longer text ', 130000) ELSE '' END,
                      CASE WHEN event_id % 41 = 0 THEN concat(chr(10), {fill_sql(leak, "concat('t', user_id)")}) ELSE '' END,
                      CASE WHEN event_id % 29 = 0 THEN concat(chr(10), 'x="', {salt}, '"') ELSE '' END,
                      CASE WHEN event_id % 31 = 0 THEN concat(chr(10), 'a note of ', substr(md5(project_id), 1, 6), ' for all') ELSE '' END) AS body

@@ -72,8 +72,6 @@ def profile(name: str) -> str:
     out += "".join(f" AND NOT starts_with(name, {lit(x)})" for x in p.skip_prefixes)
     if p.excluded_dirs:
         out += f" AND NOT list_has_any(string_split(path, '/'), [{', '.join(lit(d) for d in p.excluded_dirs)}])"
-    if p.max_chars is not None:
-        out += f" AND length(content) <= {p.max_chars}"
     return out
 
 

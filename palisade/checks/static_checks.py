@@ -224,7 +224,7 @@ def code_hits_sql(rules) -> str:
             FROM code_lines""")
     for r in rules:
         if r.scope == "file":
-            names = "".join(f" OR (name = {lit(n)} AND length(content) <= 1000000)" for n in r.extra_names)
+            names = "".join(f" OR name = {lit(n)}" for n in r.extra_names)
             parts.append(f"""SELECT project_id, path AS file, len(regexp_split_to_array({_first_part(r)}, {lit(LINE_BREAK)})) AS line,
                 {split_lines('content')}[len(regexp_split_to_array({_first_part(r)}, {lit(LINE_BREAK)}))] AS text, {numbers[r.rule_id]} AS n
                 FROM fx_files WHERE (({profile('code')}){names}) AND {match(r.pattern, 'content')}""")
@@ -373,17 +373,32 @@ def _(inp):
 
 _GLOBS = "|".join("^" + g.replace(".", "\\.").replace("*", ".*") + "$" for g in COMMIT_GLOBS)
 _TOUCHED = ("touched", f"SELECT * FROM fx_commits WHERE regexp_matches(path, {lit(_GLOBS)})")
-_RANKED = ("ranked", """SELECT * FROM (SELECT project_id, commit_sha, row_number() OVER (PARTITION BY project_id ORDER BY at_second DESC, commit_sha) AS commit_rank
-    FROM (SELECT DISTINCT project_id, commit_sha, at_second FROM touched)) WHERE commit_rank <= 50""")
-_HISTORY = ("history", "SELECT t.*, commit_rank FROM touched AS t JOIN ranked AS r ON t.project_id = r.project_id AND t.commit_sha = r.commit_sha")
-COMMIT_BLOCKS = ("fx_commits", _TOUCHED, _RANKED, _HISTORY)
+_HISTORY = ("history", "SELECT * FROM touched")
+COMMIT_BLOCKS = ("fx_commits", _TOUCHED, _HISTORY)
+
+
+def _at_second():
+    return (F.unix_timestamp("committed_at") - 1704067200).alias("at_second")
+
+
+def _timed(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("at_second", _at_second()).drop("committed_at")
 
 
 @check("src4_commit_lines", with_(*COMMIT_BLOCKS, select="""
-    SELECT project_id, commit_sha, commit_rank, path, line_no, change, md5(line) AS line_md5 FROM history"""))
+    SELECT project_id, commit_sha, at_second, path, line_no, change, md5(line) AS line_md5 FROM history"""))
 def _(inp):
     return commit_source.commit_lines(inp.commits).select(
-        "project_id", "commit_sha", "commit_rank", "path", "line_no", "change", F.md5("line").alias("line_md5"))
+        "project_id", "commit_sha", _at_second(), "path", "line_no", "change", F.md5("line").alias("line_md5"))
+
+
+@check("src4_newest_commits", with_(*COMMIT_BLOCKS, select="""
+    SELECT h.project_id, h.commit_sha, path, line_no FROM history AS h JOIN (
+      SELECT project_id, commit_sha, row_number() OVER (PARTITION BY project_id ORDER BY at_second DESC, commit_sha) AS r
+      FROM (SELECT DISTINCT project_id, commit_sha, at_second FROM touched)) AS n
+    ON n.project_id = h.project_id AND n.commit_sha = h.commit_sha WHERE n.r <= 50"""))
+def _(inp):
+    return commit_source.commit_lines(inp.commits, limit=50).select("project_id", "commit_sha", "path", "line_no")
 
 
 @check("wd5_recent_commits", with_("fx_commits", select="""SELECT * FROM (SELECT project_id, commit_sha,
@@ -393,22 +408,22 @@ def _(inp):
     return commit_source.recent_commits(inp.commits).select("project_id", "commit_sha", "commit_rank")
 
 
-_COMMIT_HITS = f"""SELECT h.project_id, h.commit_sha, h.commit_rank, h.path, h.line_no, rl.rule_id, rl.severity, rl.description
+_COMMIT_HITS = f"""SELECT h.project_id, h.commit_sha, h.at_second, h.path, h.line_no, rl.rule_id, rl.severity, rl.description
     FROM (SELECT *, {every_rule(COMMIT_RULES, 'line')} AS n FROM history) AS h JOIN {rules_table(COMMIT_RULES)} ON rl.n = h.n"""
-_FIRST_LEAK = f"""SELECT project_id, rule_id, severity, description, arg_min(commit_sha, (commit_rank, path, line_no)) AS commit_sha
+_FIRST_LEAK = f"""SELECT project_id, rule_id, severity, description, arg_min(commit_sha, (-at_second, commit_sha, path, line_no)) AS commit_sha
     FROM ({_COMMIT_HITS}) GROUP BY project_id, rule_id, severity, description"""
 
 
 @check("rs4_scan_commit_patches", with_(*COMMIT_BLOCKS, select=_COMMIT_HITS))
 def _(inp):
-    return repo.scan_commit_patches(commit_source.commit_lines(inp.commits))
+    return _timed(repo.scan_commit_patches(commit_source.commit_lines(inp.commits)))
 
 
 @check("rs4_added_lines_only", with_(*COMMIT_BLOCKS, select=f"SELECT q.* FROM ({_COMMIT_HITS}) AS q JOIN "
        "(SELECT DISTINCT project_id, commit_sha, line_no, change FROM history) AS c "
        "ON c.project_id = q.project_id AND c.commit_sha = q.commit_sha AND c.line_no = q.line_no WHERE c.change = '+'"))
 def _(inp):
-    return repo.scan_commit_patches(commit_source.commit_lines(inp.commits), changes=("+",))
+    return _timed(repo.scan_commit_patches(commit_source.commit_lines(inp.commits), changes=("+",)))
 
 
 @check("wd6_first_leak_commit", with_(*COMMIT_BLOCKS, select=_FIRST_LEAK))

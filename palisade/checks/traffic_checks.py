@@ -20,8 +20,8 @@ from palisade.sources.files import projects_of
 from palisade.streaming import traffic as streams
 
 _CRITICAL = " OR ".join(f"contains(upper(key), '{w}')" for w in CRITICAL_NAME_WORDS)
-_SCANNABLE = "regexp_matches(content_type, 'json|javascript|text/') AND body_bytes < 2000000"
-_WHERE = "concat('[', method, ' ', substr(url, 1, 60), ']')"
+_SCANNABLE = "regexp_matches(content_type, 'json|javascript|text/')"
+_WHERE = "concat('[', method, ' ', url, ']')"
 BLOCKS["patterns"] = (("last_values",), f"""SELECT project_id, value, key, source, CASE WHEN {_CRITICAL} THEN 'critical' ELSE 'warning' END AS severity
     FROM (SELECT *, row_number() OVER (PARTITION BY project_id, value ORDER BY first_seen, key) AS r FROM last_values
           WHERE upper(key) NOT IN {in_list(MODE_VARIABLES)} AND lower(value) NOT IN {in_list(COMMON_VALUES)} AND length(value) >= 16)
@@ -29,8 +29,8 @@ BLOCKS["patterns"] = (("last_values",), f"""SELECT project_id, value, key, sourc
 BLOCKS["texts"] = (("fx_traffic",), f"""SELECT * FROM (
     SELECT project_id, request_id AS text_id, 'header' AS kind, concat('request-header ', {_WHERE}) AS source, replace(header_block, chr(10), ' ') AS text FROM fx_traffic
     UNION ALL SELECT project_id, request_id, 'url', concat('request-url ', {_WHERE}), url FROM fx_traffic
-    UNION ALL SELECT project_id, request_id, 'body', concat('response [', substr(url, 1, 60), ']'), body FROM fx_traffic WHERE {_SCANNABLE})
-    WHERE text <> '' AND length(text) <= 500000""")
+    UNION ALL SELECT project_id, request_id, 'body', concat('response [', url, ']'), body FROM fx_traffic WHERE {_SCANNABLE})
+    WHERE text <> ''""")
 _ALL = lambda p, g: f"regexp_extract_all(html, {lit(p)}, {g})"
 _ATTR = lambda n: (f"coalesce(nullif(regexp_extract(tag, '(?is)\\s{n}\\s*=\\s*\"([^\"]*)\"', 1), ''), "
                    f"nullif(regexp_extract(tag, '(?is)\\s{n}\\s*=\\s*''([^'']*)''', 1), ''))")
@@ -54,12 +54,12 @@ BLOCKS["fragments"] = (("fx_pages",), f"""
     UNION ALL """ + " UNION ALL ".join(
     f"SELECT project_id, page_id, 'state', '{n}', regexp_extract(html, {lit(p)}, 1) FROM fx_pages WHERE regexp_extract(html, {lit(p)}, 1) <> ''" for n, p in _STATES))
 _HIT_LIST = ", ".join(
-    f"CASE WHEN regexp_matches(text, {lit(r.regex)}) THEN list_transform(list_distinct(list_transform(regexp_extract_all(text, {lit(r.regex)}, 0), "
-    f"lambda m: substr(m, 1, 20))), lambda m: {{'n': {i}, 'm': m}}) END" for i, r in enumerate(TRAFFIC_SECRETS, 1))
+    f"CASE WHEN regexp_matches(text, {lit(r.regex)}) THEN list_transform(list_distinct(regexp_extract_all(text, {lit(r.regex)}, 0)), "
+    f"lambda m: {{'n': {i}, 'm': m}}) END" for i, r in enumerate(TRAFFIC_SECRETS, 1))
 
 
 def secrets_sql(texts: str) -> str:
-    return f"""SELECT h.project_id, h.text_id, h.source, rl.rule_id, rl.severity, rl.description, h.hit.m AS match,
+    return f"""SELECT h.project_id, h.text_id, h.source, rl.rule_id, rl.severity, rl.description, sha256(h.hit.m) AS match_hash,
       concat('Fundet i: ', h.source, ' | Mønster: ', substr(h.hit.m, 1, 8), '***') AS detail
       FROM (SELECT project_id, text_id, source, unnest(flatten(list_filter([{_HIT_LIST}], lambda l: l IS NOT NULL))) AS hit FROM {texts} WHERE kind <> 'url') AS h
       JOIN {rules_table(TRAFFIC_SECRETS)} ON rl.n = h.hit.n"""
@@ -73,12 +73,12 @@ def exposure_sql(texts: str) -> str:
 
 BLOCKS["all_texts"] = (("texts", "fragments"), "SELECT project_id, text_id, kind, source, text FROM texts UNION ALL SELECT project_id, text_id, kind, source, text FROM fragments")
 BLOCKS["exposures"] = (("all_texts", "patterns"), f"""
-    SELECT project_id, text_id, source, rule_id, severity, description, detail, NULL AS env_var, false AS dynamic_match FROM ({secrets_sql('all_texts')})
-    UNION ALL SELECT project_id, text_id, source, 'exposure.env_value', severity, description, detail, env_var, true FROM ({exposure_sql('all_texts')})""")
+    SELECT project_id, text_id, source, rule_id, severity, description, detail, match_hash, NULL AS env_var, false AS dynamic_match FROM ({secrets_sql('all_texts')})
+    UNION ALL SELECT project_id, text_id, source, 'exposure.env_value', severity, description, detail, NULL, env_var, true FROM ({exposure_sql('all_texts')})""")
 DEDUP_SQL = """SELECT project_id, source, rule_id, severity, description, detail, dynamic_match FROM (SELECT *, row_number() OVER (PARTITION BY project_id,
-      dynamic_match, CASE WHEN dynamic_match THEN env_var ELSE description END, CASE WHEN dynamic_match THEN substr(source, 1, 40) ELSE source END
+      dynamic_match, CASE WHEN dynamic_match THEN env_var ELSE description END, source, match_hash
       ORDER BY text_id, source, detail) AS r FROM exposures) WHERE r = 1"""
-_SECRET_COLS = ("project_id", "text_id", "source", "rule_id", "severity", "description", "match", "detail")
+_SECRET_COLS = ("project_id", "text_id", "source", "rule_id", "severity", "description", "match_hash", "detail")
 _EXPOSED_COLS = ("project_id", "text_id", "source", "severity", "description", "detail", "env_var", "env_source")
 
 
@@ -164,7 +164,7 @@ def _(inp):
     return tr.response_summary(inp.traffic, patterns_of(inp))
 
 
-@check("tk1_top_api_calls", with_("fx_traffic", select=f"""SELECT project_id, rank, method, substr(url, 1, 80) AS url, label FROM (
+@check("tk1_top_api_calls", with_("fx_traffic", select=f"""SELECT project_id, rank, method, url, label FROM (
     SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts, request_id) AS rank FROM (SELECT *, {_LABEL} AS label FROM fx_traffic) WHERE label IS NOT NULL)
     WHERE rank <= 10"""))
 def _(inp):
@@ -191,9 +191,9 @@ def through_stream(inp, job) -> DataFrame:
     return inp.spark.read.parquet(f"{folder}/out")
 
 
-@check("st1_stream_secret_scan", with_("texts", select=f"SELECT * EXCLUDE (match) FROM ({secrets_sql('texts')})"))
+@check("st1_stream_secret_scan", with_("texts", select=f"SELECT * FROM ({secrets_sql('texts')})"))
 def _(inp):
-    return through_stream(inp, streams.stream_secret_scan).select(*[c for c in _SECRET_COLS if c != "match"])
+    return through_stream(inp, streams.stream_secret_scan).select(*_SECRET_COLS)
 
 
 @check("st2_stream_env_exposure", with_("texts", "patterns", select=exposure_sql("texts")))
@@ -202,12 +202,12 @@ def _(inp):
 
 
 BLOCKS["stream_exposures"] = (("texts", "patterns"), f"""
-    SELECT project_id, source, description, NULL AS env_var, false AS dynamic_match FROM ({secrets_sql('texts')})
-    UNION ALL SELECT project_id, source, description, env_var, true FROM ({exposure_sql('texts')})""")
+    SELECT project_id, source, description, match_hash, NULL AS env_var, false AS dynamic_match FROM ({secrets_sql('texts')})
+    UNION ALL SELECT project_id, source, description, NULL, env_var, true FROM ({exposure_sql('texts')})""")
 
 
 @check("st3_stream_exposure_dedup", with_("stream_exposures", select="""SELECT DISTINCT project_id, dynamic_match,
-      CASE WHEN dynamic_match THEN env_var ELSE description END AS what, CASE WHEN dynamic_match THEN substr(source, 1, 40) ELSE source END AS place
+      CASE WHEN dynamic_match THEN env_var ELSE description END AS what, source AS place, match_hash
       FROM stream_exposures"""))
 def _(inp):
     # a watermark longer than the capture keeps every key, so the stream must equal the batch
@@ -215,4 +215,4 @@ def _(inp):
     dynamic = F.col("dynamic_match")
     return through_stream(inp, job).select(
         "project_id", "dynamic_match", F.when(dynamic, F.col("env_var")).otherwise(F.col("description")).alias("what"),
-        F.when(dynamic, F.substring("source", 1, 40)).otherwise(F.col("source")).alias("place"))
+        F.col("source").alias("place"), "match_hash")

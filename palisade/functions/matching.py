@@ -72,11 +72,11 @@ def any_may_match(rules: Sequence[Rule], text: str) -> Column:
     return F.expr(f"exists(array(named_struct('raw', {text}, 'low', lower({text}))), t -> {' OR '.join(tests)})")
 
 
-def distinct_starts(rules: Sequence[Rule], text: str, size: int) -> Column:
-    """``array<struct<rule_order, match>>``: distinct ``size``-character starts of the matches of every rule."""
+def distinct_matches(rules: Sequence[Rule], text: str) -> Column:
+    """``array<struct<rule_order, match>>``: the distinct whole matches of every rule."""
     per_rule = ", ".join(
-        f"CASE WHEN {_may_match(r, text, f'lower({text})')} THEN transform(array_distinct(transform("
-        f"regexp_extract_all({text}, {quote(r.regex)}, 0), m -> substring(m, 1, {size}))), "
+        f"CASE WHEN {_may_match(r, text, f'lower({text})')} THEN transform(array_distinct("
+        f"regexp_extract_all({text}, {quote(r.regex)}, 0)), "
         f"m -> named_struct('rule_order', {i}, 'match', m)) END" for i, r in enumerate(rules, 1))
     return F.expr(f"flatten(filter(array({per_rule}), a -> a IS NOT NULL))")
 

@@ -30,7 +30,7 @@ def scan_code_lines(files: DataFrame, rules: Sequence[Rule] = CODE_RULES, first_
     is_code = in_profile(CODE)
     wanted = is_code
     if extra:
-        wanted = wanted | (F.col("name").isin(*extra) & (F.length("content") <= CODE.max_chars))
+        wanted = wanted | F.col("name").isin(*extra)
         # implied by the line above, but in a form that reaches the parquet scan
         files = files.filter(F.col("ext").isin(*CODE.extensions) | F.col("name").isin(*extra))
     prepared = (

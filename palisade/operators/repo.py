@@ -70,22 +70,22 @@ def tracked_env_files(tracked: DataFrame) -> DataFrame:
 
 def scan_commit_patches(lines: DataFrame, rules: Sequence[Rule] = COMMIT_RULES,
                         changes: Sequence[str] | None = None) -> DataFrame:
-    """Every rule on every patch line: ``project_id, rule_id, commit_sha, commit_rank, path, line_no`` (RS-4).
+    """Every rule on every patch line: ``project_id, rule_id, commit_sha, committed_at, path, line_no`` (RS-4).
 
     ``changes`` restricts the kinds of patch line (``+``, ``-`` or blank); by default all are read.
     """
     if changes is not None:
         lines = lines.filter(F.col("change").isin(*changes))
     return (
-        each(lines, all_matches(rules, "line"), "rule_order", "project_id", "commit_sha", "commit_rank", "path", "line_no")
-        .select("project_id", "commit_sha", "commit_rank", "path", "line_no",
+        each(lines, all_matches(rules, "line"), "rule_order", "project_id", "commit_sha", "committed_at", "path", "line_no")
+        .select("project_id", "commit_sha", "committed_at", "path", "line_no",
                 *rule_fields(rules, "rule_order"))
     )
 
 
 def first_leak_commit(hits: DataFrame) -> DataFrame:
     """Newest commit with a matching line, per project and rule (WD-6)."""
-    order = F.struct("commit_rank", "path", "line_no")
+    order = F.struct(-F.unix_micros("committed_at"), "commit_sha", "path", "line_no")
     return (hits.groupBy("project_id", "rule_id", "severity", "description")
             .agg(F.min_by("commit_sha", order).alias("commit_sha")))
 

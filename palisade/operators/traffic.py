@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.functions.matching import distinct_starts, rule_fields
+from palisade.functions.matching import distinct_matches, rule_fields
 from palisade.functions.text import each
 from palisade.operators.occurrences import literal_occurrences
 from palisade.rules.model import Rule
@@ -17,10 +17,6 @@ from palisade.rules.secrets import (
 from palisade.schema import as_findings
 
 MIN_EXPOSED = 16
-MAX_BODY_BYTES = 2_000_000
-MAX_TEXT = 500_000
-MAX_SCRIPT = 200_000
-MATCH_KEY = 20
 PREVIEW = 8
 
 # where a finding in a text lies, and the columns that order findings of one project
@@ -48,8 +44,8 @@ def eligible_env_values(variables: DataFrame) -> DataFrame:
 
 
 def is_scannable() -> Column:
-    """Textual content below the size limit (PF-6)."""
-    return F.col("content_type").rlike("json|javascript|text/") & (F.col("body_bytes") < MAX_BODY_BYTES)
+    """Textual content (PF-6), whatever its size."""
+    return F.col("content_type").rlike("json|javascript|text/")
 
 
 def scannable_bodies(traffic: DataFrame) -> DataFrame:
@@ -63,7 +59,7 @@ def traffic_texts(traffic: DataFrame) -> DataFrame:
     """
     headers = F.array_join(F.transform(F.map_entries("request_headers"),
                                        lambda e: F.concat(e["key"], F.lit(": "), e["value"])), " ")
-    where = F.concat(F.lit("["), F.col("method"), F.lit(" "), F.substring("url", 1, 60), F.lit("]"))
+    where = F.concat(F.lit("["), F.col("method"), F.lit(" "), F.col("url"), F.lit("]"))
 
     def text(kind: str, label: Column, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), label.alias("source"), value.alias("text"))
@@ -71,16 +67,16 @@ def traffic_texts(traffic: DataFrame) -> DataFrame:
     parts = F.array(
         text("header", F.concat(F.lit("request-header "), where), headers),
         text("url", F.concat(F.lit("request-url "), where), F.col("url")),
-        text("body", F.concat(F.lit("response ["), F.substring("url", 1, 60), F.lit("]")),
+        text("body", F.concat(F.lit("response ["), F.col("url"), F.lit("]")),
              F.when(is_scannable(), F.col("body"))))
     return (
-        each(traffic, F.filter(parts, lambda p: _scanned(p)), "p", "project_id", F.col("request_id").alias("text_id"), "ts")
+        each(traffic, F.filter(parts, _scanned), "p", "project_id", F.col("request_id").alias("text_id"), "ts")
         .select("project_id", "text_id", "ts", "p.*")
     )
 
 
-def _scanned(part: Column, limit: int = MAX_TEXT) -> Column:
-    return (part["text"] != "") & (F.length(part["text"]) <= limit)
+def _scanned(part: Column) -> Column:
+    return part["text"] != ""
 
 
 def page_fragments(pages: DataFrame) -> DataFrame:
@@ -103,7 +99,7 @@ def page_fragments(pages: DataFrame) -> DataFrame:
                        lambda s: ~s["attrs"].rlike(r"(?i)\ssrc\s*=") & (F.length(s["text"]) > 10))
     inline = F.filter(
         F.transform(scripts, lambda s, i: part("script", F.concat(F.lit("inline-script["), i, F.lit("]")), s["text"])),
-        lambda p: _scanned(p, MAX_SCRIPT))
+        _scanned)
 
     metas = F.transform(all_of(r"(?is)<meta\s[^>]*>", 0), lambda tag: part(
         "meta", F.concat(F.lit("meta["), F.coalesce(attribute(tag, "name"), attribute(tag, "property"), F.lit("?")),
@@ -123,28 +119,29 @@ def page_fragments(pages: DataFrame) -> DataFrame:
             ("window.__REMIX_DATA__", r"(?s)window\.__remixContext\s*=\s*(.*?)\s*;?\s*</script>"),
             ("window.ENV/config", r"(?s)window\.(?:ENV|env|config|CONFIG)\s*=\s*(\{.*?\})\s*(?:;|</script>)"),
         )])
-    texts = F.concat(inline, F.filter(F.concat(metas, data, states), lambda p: _scanned(p)))
+    texts = F.concat(inline, F.filter(F.concat(metas, data, states), _scanned))
     return (each(pages, texts, "p", "project_id", F.col("page_id").alias("text_id"))
             .select("project_id", "text_id", "p.*"))
 
 
 def secret_matches(text: str, rules: Sequence[Rule] = TRAFFIC_SECRETS) -> Column:
-    """``array<struct<rule_order, match>>``: distinct starts of matches, per rule (RS-5, WD-7)."""
-    return distinct_starts(rules, text, MATCH_KEY)
+    """``array<struct<rule_order, match>>``: distinct matches, per rule (RS-5, WD-7)."""
+    return distinct_matches(rules, text)
 
 
 def scan_text_secrets(texts: DataFrame, rules: Sequence[Rule] = TRAFFIC_SECRETS) -> DataFrame:
     """Known secret formats in headers, bodies and fragments; URLs are not read (RS-5, WD-7).
 
-    One pass without a shuffle: a text's matches are made distinct inside its row.
+    One pass without a shuffle: a text's matches are made distinct inside its row.  A match itself is not
+    handed on: ``match_hash`` tells matches apart, ``detail`` shows the first characters.
     """
     keep = [c for c in texts.columns if c not in ("text", "kind")]
     where = F.concat(F.lit("Fundet i: "), F.col("source"), F.lit(" | Mønster: "),
-                     F.substring("match", 1, PREVIEW), F.lit("***"))
+                     F.substring("m.match", 1, PREVIEW), F.lit("***"))
     return (
         each(texts.filter(F.col("kind") != "url"), secret_matches("text", rules), "m", *keep)
-        .select(*keep, *rule_fields(rules, "m.rule_order"), F.col("m.match").alias("match"))
-        .withColumn("detail", where).withColumn("dynamic_match", F.lit(False))
+        .select(*keep, *rule_fields(rules, "m.rule_order"), F.sha2("m.match", 256).alias("match_hash"), where.alias("detail"))
+        .withColumn("dynamic_match", F.lit(False))
     )
 
 
@@ -173,9 +170,9 @@ def env_value_exposure(texts: DataFrame, patterns: DataFrame, broadcast: bool |
 
 
 def exposure_key() -> Column:
-    """What makes two exposures the same: the variable and the start of the place, or text and place (WD-10)."""
-    return F.when(F.col("dynamic_match"), F.concat_ws("\u0001", F.lit("d"), "env_var", F.substring("source", 1, 40))
-                  ).otherwise(F.concat_ws("\u0001", F.lit("s"), "description", "source"))
+    """What makes two exposures the same: the place, and the variable or the kind and hash of the match (WD-10)."""
+    return F.when(F.col("dynamic_match"), F.concat_ws("\u0001", F.lit("d"), "env_var", "source")
+                  ).otherwise(F.concat_ws("\u0001", F.lit("s"), "description", "match_hash", "source"))
 
 
 def exposure_dedup(exposures: DataFrame) -> DataFrame:
@@ -193,7 +190,7 @@ def traffic_exposures(traffic: DataFrame, patterns: DataFrame, pages: DataFrame
     texts = traffic_texts(traffic).drop("ts")
     if pages is not None:
         texts = texts.unionByName(page_fragments(pages))
-    static = scan_text_secrets(texts).drop("match")
+    static = scan_text_secrets(texts)
     return static.unionByName(env_value_exposure(texts, patterns, broadcast), allowMissingColumns=True)
 
 
@@ -205,9 +202,8 @@ def traffic_findings(traffic: DataFrame, patterns: DataFrame, pages: DataFrame |
 def response_summary(traffic: DataFrame, patterns: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """Per textual body its size, secrets and environment values (AG-11)."""
     bodies = scannable_bodies(traffic)
-    short = F.length("body") <= MAX_TEXT
-    static = F.when(short, F.size(secret_matches("body"))).otherwise(0)
-    texts = bodies.filter(short).select("project_id", F.col("request_id").alias("text_id"),
+    static = F.size(secret_matches("body"))
+    texts = bodies.select("project_id", F.col("request_id").alias("text_id"),
                                         F.lit("").alias("source"), F.col("body").alias("text"))
     found = literal_occurrences(texts, patterns.select("project_id", "value"), _TEXT_ID, size=MIN_EXPOSED, broadcast=broadcast)
     hits = found.groupBy("project_id", F.col("text_id").alias("request_id")).agg(F.count(F.lit(1)).alias("_n"))
@@ -242,7 +238,7 @@ def top_api_calls(labelled: DataFrame, k: int = 10) -> DataFrame:
     """First ``k`` labelled requests per project (TK-1); the limit acts before the shuffle."""
     w = Window.partitionBy("project_id").orderBy("ts", "request_id")
     return (labelled.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("project_id", "rank", "method", F.substring("url", 1, 80).alias("url"), "label"))
+            .select("project_id", "rank", "method", "url", "label"))
 
 
 def top_key_labels(credentials: DataFrame, k: int = 5) -> DataFrame:

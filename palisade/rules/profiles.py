@@ -7,18 +7,15 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class FileProfile:
-    """Allow-list by extension, by name or by name prefix; directories that are pruned; a size guard."""
+    """Allow-list by extension, by name or by name prefix; directories that are pruned."""
 
     extensions: tuple[str, ...] = ()
     names: tuple[str, ...] = ()
     name_prefixes: tuple[str, ...] = ()
     skip_prefixes: tuple[str, ...] = ()
     excluded_dirs: tuple[str, ...] = ()
-    max_chars: int | None = None
 
 
-MAX_FILE_CHARS = 1_000_000
-
 _BUILD_DIRS = ("node_modules", ".git", ".next", "dist", "build", ".turbo", "out", ".svelte-kit")
 _CODE_DIRS = _BUILD_DIRS + ("__pycache__", "venv", ".venv", "vendor")
 _CONFIG_NAMES = ("vercel.json", "netlify.toml", "wrangler.toml", "railway.toml", "fly.toml",
@@ -27,12 +24,12 @@ _JS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")
 
 CODE = FileProfile(
     extensions=_JS + (".vue", ".svelte", ".py", ".php", ".rb", ".go", ".java", ".cs", ".rs", ".kt", ".scala"),
-    excluded_dirs=_CODE_DIRS, max_chars=MAX_FILE_CHARS,
+    excluded_dirs=_CODE_DIRS,
 )
 LITERAL = FileProfile(
     extensions=_JS + (".vue", ".svelte", ".py", ".php", ".json", ".toml", ".yaml", ".yml", ".config",
                       ".ini", ".xml", ".html", ".htm"),
-    names=_CONFIG_NAMES, skip_prefixes=(".env",), excluded_dirs=_CODE_DIRS, max_chars=MAX_FILE_CHARS,
+    names=_CONFIG_NAMES, skip_prefixes=(".env",), excluded_dirs=_CODE_DIRS,
 )
 ENV = FileProfile(
     names=(".env", "env.local", ".envrc"), name_prefixes=(".env.",), excluded_dirs=("node_modules", ".git"),

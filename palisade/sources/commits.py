@@ -30,13 +30,15 @@ def recent_commits(commits: DataFrame, limit: int = COMMITS_PER_PROJECT) -> Data
     return heads.withColumn("commit_rank", F.row_number().over(newest)).filter(F.col("commit_rank") <= limit)
 
 
-def commit_lines(commits: DataFrame, limit: int = COMMITS_PER_PROJECT, globs=COMMIT_GLOBS) -> DataFrame:
-    """Patch lines of the newest commits that touch the scanned paths (SRC-4).
+def commit_lines(commits: DataFrame, limit: int | None = None, globs=COMMIT_GLOBS) -> DataFrame:
+    """Patch lines of the commits that touch the scanned paths (SRC-4); with a ``limit`` only of the newest of each project.
 
     Only commits touching such paths count toward the limit.  The join key holds the commit, so a
     project with most of the history still spreads over the cluster.
     """
     touched = commits.filter(in_commit_globs(F.col("path"), globs))
+    if limit is None:
+        return touched
     ranked = recent_commits(touched, limit).select("project_id", "commit_sha", "commit_rank")
     return touched.join(ranked, ["project_id", "commit_sha"])
 

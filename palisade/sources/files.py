@@ -41,7 +41,7 @@ def with_name_parts(files: DataFrame) -> DataFrame:
 
 
 def in_profile(profile: FileProfile) -> Column:
-    """Allow-list, pruned directories and size guard as one predicate.
+    """Allow-list and pruned directories as one predicate.
 
     The ``IN`` parts reach the parquet scan; the directory test looks at the path inside the project.
     """
@@ -58,8 +58,6 @@ def in_profile(profile: FileProfile) -> Column:
     if profile.excluded_dirs:
         pruned = F.array(*[F.lit(d) for d in profile.excluded_dirs])
         allowed = allowed & ~F.arrays_overlap(F.split("path", "/"), pruned)
-    if profile.max_chars is not None:
-        allowed = allowed & (F.length("content") <= profile.max_chars)
     return allowed
 
 
