@@ -28,13 +28,13 @@ from palisade.sources.sinks import write_findings, write_report
 
 
 def _masked() -> str:
-    cases = []
+    masked = strip("text")
     for r in ENV_FORMATS + TRAFFIC_SECRETS:
         pattern, into = r.regex, "***"
         if r.rule_id == "env_format.aws_secret_40":
-            pattern, into = "(?:^|[^A-Za-z0-9/+])[A-Za-z0-9/+]{40}([^A-Za-z0-9/+]|$)", "***\\1"
-        cases.append(f"WHEN rule_id = '{r.rule_id}' THEN regexp_replace({strip('text')}, {lit(pattern)}, '{into}', 'g')")
-    return f"substr(CASE {' '.join(cases)} END, 1, 120)"
+            pattern, into = "(^|[^A-Za-z0-9/+])[A-Za-z0-9/+]{40}([^A-Za-z0-9/+]|$)", "\\1***\\2"
+        masked = f"regexp_replace({masked}, {lit(pattern)}, '{into}', 'g')"
+    return f"substr({masked}, 1, 120)"
 
 
 def _texts(name: str, sql: str) -> None:

@@ -202,9 +202,11 @@ def _(inp):
 
 
 def _shown(rules) -> str:
-    cases = " ".join(f"WHEN rule_id = '{r.rule_id}' THEN regexp_replace({strip('text')}, {lit(r.regex)}, '***', 'g')"
-                     for r in rules if r.pack == code_scan.SECRET_PACK)
-    return f"substr(CASE {cases} ELSE {strip('text')} END, 1, 120)" if cases else f"substr({strip('text')}, 1, 120)"
+    masked = strip("text")
+    own = [r for r in rules if r.pack == code_scan.SECRET_PACK and r not in CODE_RULES]
+    for r in [r for r in CODE_RULES if r.pack == code_scan.SECRET_PACK] + own:
+        masked = f"regexp_replace({masked}, {lit(r.regex)}, '***', 'g')"
+    return f"substr({masked}, 1, 120)"
 
 
 def _first_part(r) -> str:

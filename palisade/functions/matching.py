@@ -81,11 +81,16 @@ def distinct_matches(rules: Sequence[Rule], text: str) -> Column:
     return F.expr(f"flatten(filter(array({per_rule}), a -> a IS NOT NULL))")
 
 
-def mask_matches(rules: Sequence[Rule], text: str, rule_id: str = "rule_id") -> Column:
-    """The text with every match of its own rule replaced."""
-    cases = " ".join(f"WHEN {rule_id} = {quote(r.rule_id)} THEN regexp_replace({text}, {quote(r.regex)}, '***')"
-                     for r in rules)
-    return F.expr(f"CASE {cases} ELSE {text} END") if rules else F.col(text)
+def mask_matches(rules: Sequence[Rule], text: str) -> Column:
+    """The text with the matches of every rule replaced, one rule after the other.
+
+    A character that a pattern reads before the secret stays.
+    """
+    masked = text
+    for r in rules:
+        before = r.regex.startswith("(?:^|")
+        masked = f"regexp_replace({masked}, {quote('(' + r.regex[3:] if before else r.regex)}, '{'$1' if before else ''}***')"
+    return F.expr(masked)
 
 
 def rule_fields(rules: Sequence[Rule], order: str, names=("rule_id", "severity", "description")) -> list[Column]:

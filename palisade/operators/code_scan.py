@@ -64,8 +64,10 @@ def first_hit_per_file(hits: DataFrame) -> DataFrame:
 
 
 def mask_code_lines(hits: DataFrame, rules: Sequence[Rule] = CODE_RULES) -> DataFrame:
-    """``detail``: the trimmed line, 120 characters, with secrets of the secret pack masked (PF-4)."""
-    secrets = [r for r in rules if r.pack == SECRET_PACK]
+    """``detail``: the trimmed line, 120 characters, with the secrets of every rule of the secret pack masked, whichever rule
+    found the line (PF-4)."""
+    own = [r for r in rules if r.pack == SECRET_PACK and r not in CODE_RULES]
+    secrets = [r for r in CODE_RULES if r.pack == SECRET_PACK] + own
     return (hits.withColumn("_shown", strip(F.col("text")))
             .withColumn("detail", F.substring(mask_matches(secrets, "_shown"), 1, EVIDENCE_CHARS)).drop("_shown"))
 

@@ -185,3 +185,21 @@ def test_file_filters_reach_the_scan(spark):
     assert "In(name" in text.split("PushedFilters: [")[1]
     text = code_scan.scan_code_lines(files)._jdf.queryExecution().executedPlan().toString()
     assert "In(ext" in text.split("PushedFilters: [")[1] and "Exchange" not in text
+
+
+def test_evidence_masks_secrets_of_other_rules(spark):
+    line = 'const k = "sk-abcdefghijklmnopqrstuvwxyz012345"; fetch("http://plain.example/x")'
+    files = spark.createDataFrame([("p", "src/a.js", line + "\n")], "project_id string, path string, content string")
+    from palisade.operators.code_scan import code_findings
+    found = code_findings(files, spark.createDataFrame([], "project_id string, stack string")).collect()
+    assert len({r["rule_id"] for r in found}) > 1 and all("sk-abc" not in r["detail"] for r in found)
+
+
+def test_tokens_that_share_a_header_are_two_exposures(spark):
+    from palisade.operators.traffic import exposure_dedup, scan_text_secrets
+    head = "eyJ" + "a" * 60
+    text = f"{head}.{'b' * 60}.{'c' * 20} {head}.{'d' * 60}.{'e' * 20} " + "x" * 600_000
+    texts = spark.createDataFrame([("p", 1, "body", "response [" + "u" * 90 + "]", text)], "project_id string, text_id long, kind string, source string, text string")
+    hits = scan_text_secrets(texts)
+    assert hits.count() == 2 and not any(head in str(v) for r in hits.collect() for v in r)
+    assert exposure_dedup(hits.selectExpr("*", "CAST(NULL AS STRING) AS env_var")).count() == 2
