@@ -20,8 +20,8 @@ SPACES = r"[ \t\r\f]+"
 
 def tokens(line: Column) -> Column:
     """Tokens of a line, with a star for each that holds a digit; an empty line has one empty token."""
-    masked = F.regexp_replace(line, r"[^ \t\r\f]*[0-9][^ \t\r\f]*", "<*>")
-    return F.split(F.regexp_replace(masked, r"^[ \t\r\f]+|[ \t\r\f]+$", ""), SPACES)
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ \t\r\f]*[0-9][^ \t\r\f]*", "<*>")).otherwise(line)
+    return F.split(F.btrim(masked, F.lit(" \t\r\f")), SPACES)
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
@@ -47,12 +47,11 @@ def maybe_in(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
     return marked.withColumn("_maybe", held).drop("_word", "_bit", "_bits")
 
 
-def template_keys(docs: DataFrame, text: str) -> DataFrame:
+def template_keys(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
     """``_masked, _template`` of the lines that share a template with different lines."""
-    lines = _lines(docs, text)
     leaves = lines.groupBy("_leaf").agg(F.min("_masked").alias("a"), F.max("_masked").alias("b"), F.min("_text_hash").alias("c"), F.max("_text_hash").alias("d"))
     mixed = materialise(leaves.where("a < b AND c < d").select("_leaf"), "leaves")
-    chosen = maybe_in(lines, "_leaf", bits_of(mixed, "_leaf")).where("_maybe").select(
+    chosen = maybe_in(_lines(docs, text), "_leaf", bits_of(mixed, "_leaf")).where("_maybe").select(
         "_leaf", "_masked", "_n", F.transform("_tokens", lambda t, i: F.xxhash64(i, t)).alias("_placed"))
     distinct = chosen.groupBy("_leaf", "_masked").agg(F.first("_placed").alias("_placed"), F.first("_n").alias("_n"), F.count("*").alias("_lines"))
     distinct = materialise(distinct.join(mixed, "_leaf", "left_semi"), "leaf-lines")
@@ -76,8 +75,8 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*columns).withColumn("_id", F.col(key)).withColumn("_text_hash", F.xxhash64(F.col(text)))
-    templates = materialise(template_keys(rows, text), "templates")
-    lines = _lines(rows, text).select("_id", "_text_hash", "_at", "_masked")
+    lines = materialise(_lines(rows, text).drop("_tokens"), "parsed")
+    templates = materialise(template_keys(rows, text, lines), "templates")
     lines = lines.join(templates, "_masked", "left").select("_id", "_text_hash", "_at", F.coalesce("_template", "_masked").alias("_template"))
     lines = materialise(lines, "lines")
     recurring = lines.groupBy("_template").agg(
@@ -88,12 +87,13 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id
     dropped = materialise(dropped, "dropped")
     marked = maybe_in(rows, "_text_hash", bits_of(dropped, "_text_hash"))
     split = F.split(F.col(text), "\n")
-    untouched = marked.where("NOT _maybe").select(*columns, F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    count = F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    untouched = marked.where("NOT _maybe").select(*columns, count.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     kept = let_lines(split)
     cut = dropped.select(F.col("_id").alias("_cut_id"), F.col("_text_hash").alias("_cut_hash"), "_dropped")
     hit = marked.where("_maybe").join(cut, F.col("_id").eqNullSafe(F.col("_cut_id")) & (F.col("_text_hash") == F.col("_cut_hash")), "left")
     hit = hit.select(*[F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in columns],
-                     F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+                     count.alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
     return untouched.unionByName(hit)
 
 
