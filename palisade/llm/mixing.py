@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palisade.llm.tables import let
+from palisade.llm.tables import let, materialise
 
 #: characters of a block; slots of a period, up to rounding; characters that one task orders
 BLOCK_CHARS, RESOLUTION, BUCKET_CHARS = 65_536, 500, 4_000_000
@@ -86,18 +86,20 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, def
     rows = docs.drop(*ADDED)
     columns = rows.columns
     rows = rows.select("*", source_name(source).alias("_name"), F.coalesce(F.length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("_chars"),
-                       F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")).alias("_hash"))
-    sizes = rows.groupBy(F.col("_name").alias("name")).agg(F.sum("_chars").alias("chars"))
+                       F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")).alias("_hash"),
+                       F.xxhash64(text).alias("_tie"))
+    # small tables are written, so that their sizes are known and no join has to move a hot source to one task
+    sizes = materialise(rows.groupBy(F.col("_name").alias("name")).agg(F.sum("_chars").alias("chars")), "sources")
     buckets = sizes.select(F.col("name").alias("_name"), F.ceil((F.col("chars") + 1) / F.lit(bucket_chars)).cast("long").alias("_buckets"))
     place = F.conv(F.substring("_hash", 1, 7), 16, 10).cast("long")
     rows = rows.join(buckets, "_name").withColumn("_bucket", F.floor(place * F.col("_buckets") / F.lit(1 << 28)).cast("long")).drop("_buckets")
     before = Window.partitionBy("_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("_name", "_bucket").agg(F.sum("_chars").alias("_sum")).select(
-        "_name", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_name", "_bucket").orderBy("_hash", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
+    bases = materialise(rows.groupBy("_name", "_bucket").agg(F.sum("_chars").alias("_sum")).select(
+        "_name", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base")), "buckets")
+    inside = Window.partitionBy("_name", "_bucket").orderBy("_hash", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_into", F.coalesce(F.sum("_chars").over(inside), F.lit(0))).join(bases, ["_name", "_bucket"])
     rows = rows.withColumn("mix_offset", F.col("_base") + F.col("_into")).withColumn("mix_block", F.floor(F.col("mix_offset") / F.lit(block_chars)).cast("long"))
-    slots = schedule(sizes, weights, default_weight, resolution)
+    slots = materialise(schedule(sizes, weights, default_weight, resolution), "slots")
     shares = slots.groupBy(F.col("name").alias("_name")).agg(F.first("share").alias("_share"), F.first("period").alias("_period"))
     rows = rows.join(shares, "_name").withColumn("_turn", F.col("mix_block") % F.col("_share"))
     rows = rows.join(slots.select(F.col("name").alias("_name"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot")), ["_name", "_turn"])
