@@ -29,7 +29,8 @@ def anchors(text: Column) -> Column:
         def at(i: Column) -> Column:
             first, last = F.get(sub, i), F.get(sub, i + (inner - 1))
             least = F.array_min(F.slice(sub, i + 1, inner))
-            return F.when((first == least) | (last == least), F.struct(F.xxhash64(first, F.get(sub, i + inner // 2), last).alias("hash"), i.alias("pos")))
+            # "in" works the minimum out once, two comparisons would do so twice
+            return F.when(least.isin(first, last), F.struct(F.xxhash64(first, F.get(sub, i + inner // 2), last).alias("hash"), i.alias("pos")))
         return F.filter(F.transform(windows(F.size(sub), inner), at), lambda a: a.isNotNull())
 
     def substrings(h: Column) -> Column:
@@ -44,14 +45,18 @@ def anchors(text: Column) -> Column:
 
 def fingerprint_text(found: Column) -> Column:
     """Anchors as text: position and hash of each, both hexadecimal."""
-    return F.array_join(F.transform(found, lambda a: F.concat(F.lower(F.hex(a["pos"])), F.lit(":"), F.lower(F.substring(F.hex(a["hash"]), -8, 8)))), " ")
+    return F.lower(F.array_join(F.transform(found, lambda a: F.concat(F.hex(a["pos"]), F.lit(":"), F.substring(F.hex(a["hash"]), -8, 8))), " "))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared anchors over all anchors of two fingerprints; 1 if neither has any."""
-    x, y = F.transform(a, lambda v: v["hash"]), F.transform(b, lambda v: v["hash"])
-    every = F.size(F.array_union(x, y))
-    return F.when(every == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / every)
+def hashes_of(found: Column) -> Column:
+    """The distinct hashes of a fingerprint."""
+    return F.array_distinct(F.transform(found, lambda v: v["hash"]))
+
+
+def likeness(x: Column, y: Column) -> Column:
+    """Shared hashes over all hashes of two fingerprints, each given by ``hashes_of``; 1 if neither has any."""
+    return let(F.size(F.array_intersect(x, y)), lambda both: F.when(F.size(x) + F.size(y) == 0, F.lit(1.0)).otherwise(
+        both / (F.size(x) + F.size(y) - both)))
 
 
 def shared_offsets(a: Column, b: Column) -> Column:
@@ -94,8 +99,11 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
     # arrays are bound once per row: a projection that used them by name could compute them again for every use
     marks = F.struct(anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("edited"), anchors(F.col("next_text")).alias("next"))
-    result = let(marks, lambda m: F.struct(
-        fingerprint_text(m["own"]).alias("fingerprint"), fingerprint_text(m["edited"]).alias("edited_fingerprint"),
-        likeness(m["own"], m["edited"]).alias("near_edited"), likeness(m["own"], m["next"]).alias("near_next"), F.size(m["own"]).alias("n_anchors")))
+    result = let(marks, lambda m: let(
+        F.struct(hashes_of(m["own"]).alias("own"), hashes_of(m["edited"]).alias("edited"), hashes_of(m["next"]).alias("next")),
+        lambda h: F.struct(
+            fingerprint_text(m["own"]).alias("fingerprint"), fingerprint_text(m["edited"]).alias("edited_fingerprint"),
+            likeness(h["own"], h["edited"]).alias("near_edited"), likeness(h["own"], h["next"]).alias("near_next"),
+            F.size(m["own"]).alias("n_anchors"))))
     return rows.select("doc_id", "n_chars", F.sha2(F.encode(F.col("edited"), "UTF-8"), 256).alias("edited_sha256"), result.alias("r")).select(
         "doc_id", "n_chars", "edited_sha256", "r.fingerprint", "r.edited_fingerprint", "r.near_edited", "r.near_next", "r.n_anchors")
