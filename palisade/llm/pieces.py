@@ -225,7 +225,8 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
         return compute
 
     added = {"piece_ids": ("array<int>", pa.list_(pa.int32())), "n_pieces": LONG}
-    return with_text_columns(docs, text, added, start, keep)
+    # the Viterbi arrays take about a hundred bytes a character
+    return with_text_columns(docs, text, added, start, keep, limit=1_000_000)
 
 
 def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
