@@ -200,6 +200,30 @@ def test_tree_join_loses_no_pair(same):
     assert all(np.minimum(v[i], v[j]).sum() >= shingle_join.needed(n[i] + n[j]) and comp[i] != comp[j] for i, j in pairs)
 
 
+def test_fine_counts_lose_no_pair():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 40, k).astype(np.uint64)) for k in (5, 60, 300, 700, 1100, 9000, 70000)]
+    sets += [np.unique(np.concatenate([s[:len(s) - len(s) // 9], rng.integers(0, 1 << 40, len(s) // 9).astype(np.uint64)])) for s in sets]
+    fine, n = [shingle_join.fine_counts(s) for s in sets], np.array([len(s) for s in sets])
+    pairs = np.array([(i, j) for i in range(len(sets)) for j in range(i)])
+    kept = {tuple(p) for p in shingle_join.fine_admitted(fine, n, pairs).tolist()}
+    assert {(i, j) for i, j in pairs.tolist() if shingle_join.similar(sets[i], sets[j])} <= kept and len(kept) < len(pairs) // 4
+    assert all(np.array_equal(shingle_join.folded(f, shingle_join.GROUPS), shingle_join.counts(s)) for f, s in zip(fine, sets, strict=True))
+
+
+def test_copies_that_only_their_base_links(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(104)]
+    texts = [" ".join(base)]
+    for k in range(60):  # 10 of 100 shingles differ from the base (90 / 110), 20 from most other copies (80 / 120)
+        w = list(base)
+        for at in rng.sample(range(5, 95, 6), 2):
+            w[at] = f"x{k}y{at}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").repartition(3)
+    assert {r["component_id"] for r in shingle_join.shingle_components(df, tile=16).collect()} == {1}
+
+
 def test_shingles_hard_cases(spark):
     rows = shingle_join.shingle_components(hard_documents(spark, "n_shingles,node")).collect()
     got = defaultdict(list)
