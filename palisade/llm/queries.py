@@ -1,27 +1,15 @@
-"""The registered queries of the ten operators and the SQL of those that SQL can express."""
+"""The queries over documents and embeddings, with the SQL of those that SQL can express. Those over tokens and turns are beside them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import embedding_links, language_id, licenses, line_templates, mixing, pieces, secret_lexing, shingle_join, syncmers, toxicity
+from palisade.llm import token_queries  # noqa: F401 - registers its queries
+from palisade.llm.registry import ORACLE, SPARK, query  # noqa: F401 - the driver contract reads them here
 from palisade.llm.tables import id_remainder, table
 
-SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(job: Callable[[SparkSession, str], DataFrame]):
-        SPARK[name] = job
-        if sql is not None:
-            ORACLE[name] = sql
-        return job
-    return register
-
 
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
