@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import embedding_links, language_id, licenses, line_templates, mixing, pieces, secret_lexing, shingle_join, syncmers, toxicity
-from palisade.llm import token_queries  # noqa: F401 - registers its queries
+from palisade.llm import conversation_queries, token_queries  # noqa: F401 - they register their queries
 from palisade.llm.registry import ORACLE, SPARK, query  # noqa: F401 - the driver contract reads them here
 from palisade.llm.tables import id_remainder, table
 

@@ -48,3 +48,14 @@ def let(value: Column, body) -> Column:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows of whole texts are wide: fewer of them per Arrow batch keep a Python worker small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, whatever the others are called: the one spelled like a name, else the first that differs in case."""
+    found = []
+    for name in names:
+        places = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if not places:
+            raise ValueError(f"no column {name}")
+        found.append(places[0])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{i}").alias(name) for i, name in zip(found, names, strict=True)])
