@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import turn_repair
+from palisade.llm import prefix_trie, turn_repair
 from palisade.llm.registry import query
-from palisade.llm.tables import only, table
+from palisade.llm.tables import materialise, only, table
 
 #: crc32 of short ASCII texts ``s`` of a table ``{texts}``, as ``crc(s, h)``: the table of the polynomial, then one step per character
 CRC_SQL = """
@@ -153,3 +153,118 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
     return joined.select(F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS], F.coalesce("audit", F.lit("")).alias("audit"),
                          F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def rebuilt(turns: DataFrame, ids: DataFrame) -> DataFrame:
+    """Turns (as ``turns_of`` gives them) of rebuilt conversations: c takes the first crc32(c) % 9 turns of c - c % 5, then its own beyond as many."""
+    given = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    whole = F.col("conv_id") % 5 == 0  # its own giver
+    sizes = turns.groupBy(F.col("conv_id").alias("giver")).agg(F.count("*").alias("size"))
+    plan = ids.where(~whole).select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("giver"), given.alias("h")).where("h > 0")
+    plan = plan.join(sizes, "giver", "left").select("conv_id", "giver", "h", F.least("h", F.coalesce("size", F.lit(0))).alias("n_given"))
+    heads = turns.where("at < 8").withColumnRenamed("conv_id", "giver")
+    taken = plan.join(heads, "giver").where("at < n_given").select(*turns.columns)
+    # own turns keep their places unless the giver is short
+    short = plan.where("n_given < h").select("conv_id", (F.col("h") - F.col("n_given")).alias("back"))
+    own = turns.where(whole | (F.col("at") >= given)).join(short, "conv_id", "left").withColumn("at", F.col("at") - F.coalesce("back", F.lit(0)))
+    return taken.unionByName(own.select(*turns.columns))
+
+
+#: members are joined into texts of about this many characters before they meet at their node
+MEMBERS_CHARS = 1 << 16
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of members of one node, as comma-joined texts with their first member."""
+    kinds = [*[pa.int64()] * 4, pa.string()]
+    node, first, ids, size = None, 0, [], 0
+
+    def text():
+        return (*node, first, ",".join(ids))
+
+    for batch in batches:
+        out = []
+        for *at, c in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if at != node or size > MEMBERS_CHARS:
+                if ids:
+                    out.append(text())
+                node, first, ids, size = at, c, [], 0
+            ids.append(str(c))
+            size += len(ids[-1]) + 1
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[*prefix_trie.NODE, "first", "members"])
+    if ids:
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(text(), kinds, strict=True)], names=[*prefix_trie.NODE, "first", "members"])
+
+
+def _member_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One SHA-256 per node over its texts in order."""
+    node, digest = None, None
+
+    def batch_of(rows):
+        kinds = [*[pa.int64()] * 3, pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*prefix_trie.NODE, "ends_sha256"])
+
+    for batch in batches:
+        out = []
+        for *at, members in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if at != node:
+                if digest:
+                    out.append((*node, digest.hexdigest()))
+                node, digest = at, hashlib.sha256(members.encode())
+            else:
+                digest.update(f",{members}".encode())
+        if out:
+            yield batch_of(out)
+    if digest:
+        yield batch_of([(*node, digest.hexdigest())])
+
+
+TRIE_SQL = f"""
+WITH RECURSIVE own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+texts AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS s FROM own),
+{CRC_SQL.format(texts='texts')},
+ids AS (SELECT CAST(s AS BIGINT) AS conv_id, h % 9 AS h, CAST(s AS BIGINT) - CAST(s AS BIGINT) % 5 AS giver FROM crc),
+turns AS (
+    SELECT i.conv_id, 0 AS part, o.pos, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.giver AND o.pos < i.h
+    UNION ALL SELECT i.conv_id, 1, o.pos, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.pos >= i.h),
+lists AS (
+    SELECT conv_id, list(sha256(CAST(length(role) AS VARCHAR) || ':' || role || text) ORDER BY part, pos) AS keys, list(strlen(text) ORDER BY part, pos) AS sizes FROM turns GROUP BY conv_id),
+whole AS (SELECT i.conv_id, coalesce(l.keys, []) AS keys, coalesce(l.sizes, []) AS sizes FROM ids i LEFT JOIN lists l USING (conv_id)),
+paths AS (
+    SELECT conv_id, d AS depth, md5(array_to_string(keys[1:d], ',')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(keys[1:d - 1], ',')) END AS parent,
+           CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, d = len(keys) AS ends
+    FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM whole)),
+nodes AS (
+    SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM paths GROUP BY depth, node),
+kids AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY depth, parent),
+up AS (
+    SELECT depth, node, depth AS d, node AS pos, parent, saved FROM nodes
+    UNION ALL SELECT u.depth, u.node, n.depth, n.node, n.parent, u.saved FROM up u JOIN nodes n ON n.depth = u.d - 1 AND n.node = u.parent),
+below AS (
+    SELECT u.d AS depth, u.pos AS node, sum(u.saved) AS saved_tokens, count(*) FILTER (k.node IS NULL) AS n_leaves
+    FROM up u LEFT JOIN kids k ON k.depth = u.depth AND k.node = u.node GROUP BY u.d, u.pos)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (depth, node) LEFT JOIN kids k USING (depth, node) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.parent
+"""
+
+
+@query("op11_prefix_trie", sql=TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    turns = prefix_trie.turns_of(conversations)
+    ids = turns.select("conv_id").distinct()
+    trie = prefix_trie.build_trie(rebuilt(turns, ids), ids)
+    node = ", ".join(f"{c} long" for c in prefix_trie.NODE)
+    ends = materialise(trie.ends, "trie-ends").select(*prefix_trie.NODE, "conv_id")
+    # members in order by ranges, so the many of one node are joined in several tasks; their few texts are hashed one after the other
+    runs = ends.repartitionByRange(*ends.columns).sortWithinPartitions(*ends.columns).mapInArrow(_members, f"{node}, first long, members string")
+    hashes = runs.repartition(*prefix_trie.NODE).sortWithinPartitions(*prefix_trie.NODE, "first").select(*prefix_trie.NODE, "members").mapInArrow(_member_hashes, f"{node}, ends_sha256 string")
+    return trie.nodes.join(hashes, prefix_trie.NODE, "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
