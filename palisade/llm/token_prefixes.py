@@ -29,12 +29,13 @@ from palisade.llm.batches import LONG, with_text_columns
 
 SPACE = "▁"
 COUNTS = ("array<int>", pa.list_(pa.int32()))
-#: the part of a step that names the last piece
-LAST = 0xFFFFFFFF
+#: a step is a count above this many bits and the number of the last piece in them
+SHIFT = 20
+LAST = (1 << SHIFT) - 1
 #: pieces of these lengths may end anywhere
 SHORT = (2, 1)
-#: prefixes of segments of up to this many characters are remembered, up to so many of them
-REMEMBERED_CHARS, REMEMBERED = 48, 700_000
+#: counts of segments of up to this many characters are remembered: the last so many, and as many before them
+REMEMBERED_CHARS, REMEMBERED = 48, 1_000_000
 
 
 class PieceModel(NamedTuple):
@@ -99,7 +100,7 @@ class PrefixCounter:
         self.turn = {p: -s for p, s in model.scores.items() if len(p) > 1}
         self.spelled = ["", *sorted(self.letters | model.halves.keys())]
         self.pieces = {piece: i for i, piece in enumerate(self.spelled) if piece}
-        self.cost = [(1 if piece in model.scores else len(piece.encode())) << 32 for piece in self.spelled]
+        self.cost = [(1 if piece in model.scores else len(piece.encode())) << SHIFT for piece in self.spelled]
         sizes: dict[str, set[int]] = {}
         for piece in self.pieces:
             for tail in {piece[-k:] for k in (1, 2, 3)}:
@@ -108,8 +109,10 @@ class PrefixCounter:
         self.tails = {tail: tuple(sorted(found | set(SHORT), reverse=True)) for tail, found in sizes.items()}
         # whole numbers only: the garbage collector need not look at them
         self.whole: dict[int, bool] = {}
-        self.known: dict[str, int] = {"": 0}
-        self.older = self.known
+        #: counts of segments, those of the last batches and the ones before; of long ones only the last batch's
+        self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.long: list[str] = []
         self.cut = re.compile(self._segment() if model.separable else r"(?s:.+)")
 
     def _segment(self) -> str:
@@ -155,7 +158,7 @@ class PrefixCounter:
 
     def _extend(self, text: str, steps: list[int]) -> None:
         """``steps`` holds a step for each of the shortest prefixes of ``text``, the empty one first; those of the others are added. A step
-        is the count and the number of the last piece (0: bytes, or none), as one whole number."""
+        is the count and the number of the last piece (0: bytes, or none) as one whole number."""
         whole, pieces, tails, cost = self.whole, self.pieces, self.tails, self.cost
         for n in range(len(steps), len(text) + 1):
             for size in tails.get(text[n - 3:n] if n > 2 else text[:n], SHORT):
@@ -164,7 +167,7 @@ class PrefixCounter:
                     step = steps[n - size]
                     before = step & LAST
                     if before:
-                        pair = before << 32 | piece
+                        pair = before << SHIFT | piece
                         stay = whole.get(pair)
                         if stay is None:
                             if len(whole) >= REMEMBERED:
@@ -175,39 +178,41 @@ class PrefixCounter:
                     steps.append((step - before) + cost[piece] + piece)
                     break
             else:  # no piece holds this character: its bytes, and nothing merges across them
-                steps.append((steps[n - 1] & ~LAST) + (len(text[n - 1].encode("utf-8", "replace")) << 32))
+                steps.append((steps[n - 1] & ~LAST) + (len(text[n - 1].encode("utf-8", "replace")) << SHIFT))
 
-    def _short(self, segment: str) -> int:
-        """The step of a short segment. What is known of its prefixes is used, and all its prefixes are remembered, until as many again
-        have been met since they were last used."""
+    def _learn(self, lists: list[list[str]]) -> None:
+        """Make the counts of all segments known. In sorted order a segment goes on from what it shares with the one before it."""
         if len(self.known) >= REMEMBERED:
-            self.older, self.known = self.known, {"": 0}
+            self.older, self.known = self.known, {}
+        for segment in self.long:
+            self.known.pop(segment, None)
         known, older = self.known, self.older
-        done = len(segment)
-        while segment[:done] not in known and segment[:done] not in older:
-            done -= 1
-        steps = [known[p] if (p := segment[:n]) in known else older[p] for n in range(done + 1)]
-        self._extend(segment, steps)
-        for n in range(len(steps) - 1, 0, -1):
-            if n <= done and segment[:n] in known:
-                break
-            known[segment[:n]] = steps[n]
-        return steps[-1]
+        new = set(itertools.chain.from_iterable(lists)).difference(known)
+        known.update({segment: older[segment] for segment in new if segment in older})
+        steps, before = [0], ""
+        for segment in sorted(new.difference(older)):
+            same = 0
+            for a, b in zip(segment, before, strict=False):
+                if a != b:
+                    break
+                same += 1
+            del steps[same + 1:]
+            self._extend(segment, steps)
+            known[segment] = steps[-1] >> SHIFT
+            before = segment
+        self.long = [segment for segment in new if len(segment) > REMEMBERED_CHARS]
 
     def prefixes(self, segment: str) -> list[int]:
         """Counts of the first 1, 2, ... characters of a segment."""
         steps = [0]
         self._extend(segment, steps)
-        return [step >> 32 for step in steps[1:]]
+        return [step >> SHIFT for step in steps[1:]]
 
-    def total(self, text: str) -> int:
-        total = 0
-        for s in self.segments(text):
-            step = self.known.get(s)
-            if step is None:
-                step = self._short(s) if len(s) <= REMEMBERED_CHARS else self.prefixes(s)[-1] << 32
-            total += step >> 32
-        return total
+    def totals(self, texts: list[str]) -> list[int]:
+        """Counts of whole texts."""
+        lists = [self.segments(t) for t in texts]
+        self._learn(lists)
+        return [sum(map(self.known.__getitem__, segments)) for segments in lists]
 
     def all_prefixes(self, text: str) -> np.ndarray:
         """Counts of the first 0, 1, ... code points of a text."""
@@ -256,12 +261,12 @@ def count_tokens(docs: DataFrame, model: PieceModel, budget: int, text: str = "t
 
         def work(texts: list[bytes]) -> dict[str, list[int]]:
             whole = [t.decode("utf-8", "replace") for t in texts]
-            totals = [counter.total(t) for t in whole]
+            totals = counter.totals(whole)
             return {"n_bytes": [len(t) for t in texts], "n_tokens": totals,
                     "budget_chars": [counter.longest_within(t, budget, n) for t, n in zip(whole, totals, strict=True)]}
         return work
 
-    return with_text_columns(docs, text, {"n_bytes": LONG, "n_tokens": LONG, "budget_chars": LONG}, start, keep)
+    return with_text_columns(docs, text, {"n_bytes": LONG, "n_tokens": LONG, "budget_chars": LONG}, start, keep, rows=2000, limit=4_000_000)
 
 
 def prefix_counts(docs: DataFrame, model: PieceModel, text: str = "text", keep: Iterable[str] | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ def test_every_prefix_and_budget_agrees_with_the_library(model, library):
     rng = random.Random(5)
     for k in range(1500):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(9)))
-        assert counter.total(text) == len(library.encode(text)), text
+        assert counter.totals([text]) == [len(library.encode(text))], text
         if k % 15 == 0:
             want = [len(library.encode(text[:i])) for i in range(len(text) + 1)]
             assert counter.all_prefixes(text).tolist() == want
@@ -45,9 +45,10 @@ def test_long_segments_and_forgetting(model, library, monkeypatch):
     monkeypatch.setattr(token_prefixes, "REMEMBERED", 50)
     counter = token_prefixes.PrefixCounter(model)
     for text in texts * 2:
-        assert counter.total(text) == len(library.encode(text))
+        assert counter.totals([text, "in between"])[0] == len(library.encode(text))
+    assert counter.totals(texts) == [len(library.encode(t)) for t in texts]
     words = [f"w{rng.randrange(200)}x{rng.choice('abc')}" for _ in range(3000)]
-    assert [counter.total(w) for w in words] == [len(library.encode(w)) for w in words]
+    assert [n for i in range(0, 3000, 70) for n in counter.totals(words[i:i + 70])] == [len(library.encode(w)) for w in words]
 
 
 def test_stored_counts_answer_questions(spark, model, library):
