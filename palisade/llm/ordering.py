@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -64,11 +65,12 @@ def in_order(df: DataFrame, group: str, by: Sequence[Column], columns: Sequence[
             if last == r["first"]:  # one group fills the partition
                 state = [a + b for a, b in zip(state, before[1:], strict=True)]
         before = (last, state[0], *(s & MASK for s in state[1:]))
-    if not carry:
-        return found.drop("part")
-    more = ["more_part", "more_group", "more_at", *(f"more_{s}" for s in sums)]
-    carried = found.sparkSession.createDataFrame(carry, ", ".join(f"{c} long" for c in more))
-    joined = found.join(F.broadcast(carried), (F.col("part") == F.col("more_part")) & (F.col(group) == F.col("more_group")), "left")
-    whole = [(F.col("at") + F.coalesce("more_at", F.lit(0))).alias("at")]
-    whole += [(F.col(f"{s}_upto") + F.coalesce(f"more_{s}", F.lit(0))).bitwiseAND(MASK).alias(f"{s}_upto") for s in sums]
-    return joined.select(*ordered.columns, *whole)
+    # by partition number, as constants: no join
+    by_part = {part: state for part, *state in carry}
+    width = max(by_part, default=-1) + 1
+    carried = [F.from_json(F.lit(json.dumps([by_part[p][i] if p in by_part else None for p in range(width)])), "array<bigint>") for i in range(2 + len(sums))]
+    goes_on = F.get(carried[0], F.col("part")) == F.col(group)
+    more = [F.when(goes_on, F.get(c, F.col("part"))).otherwise(0) for c in carried[1:]]
+    whole = [(F.col("at") + more[0]).alias("at")]
+    whole += [(F.col(s) + m).bitwiseAND(MASK).alias(s) for s, m in zip(upto, more[1:], strict=True)]
+    return found.select(*ordered.columns, *whole)
