@@ -201,6 +201,11 @@ def _(inp):
     return through_stream(inp, lambda t: streams.stream_env_exposure(t, patterns_of(inp))).select(*_EXPOSED_COLS)
 
 
+@check("st2_stream_env_exposure_shuffled", with_("texts", "patterns", select=exposure_sql("texts")))
+def _(inp):
+    return through_stream(inp, lambda t: streams.stream_env_exposure(t, patterns_of(inp), broadcast=False)).select(*_EXPOSED_COLS)
+
+
 BLOCKS["stream_exposures"] = (("texts", "patterns"), f"""
     SELECT project_id, source, description, match_hash, NULL AS env_var, false AS dynamic_match FROM ({secrets_sql('texts')})
     UNION ALL SELECT project_id, source, description, NULL, env_var, true FROM ({exposure_sql('texts')})""")

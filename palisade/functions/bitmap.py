@@ -1,0 +1,27 @@
+"""A bitmap of hashed keys: rows that surely have no partner go before a shuffle."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: 2^22 bits, half a megabyte; beyond about a million keys fewer rows go, and no result changes
+LOG_BITS = 22
+
+
+def bit_of(*columns: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << LOG_BITS))
+
+
+def bitmap(bits: DataFrame, column: str) -> Column:
+    """The bit numbers in a column of ``bits`` as one array of longs: a scalar subquery, evaluated with the query that uses it."""
+    words = bits.select(F.shiftright(column, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 AS INT))").alias("one"))
+    words = words.groupBy("word").agg(F.bit_or("one").alias("held"))
+    every = bits.sparkSession.range(0, 1 << (LOG_BITS - 6), 1, 1).join(F.broadcast(words), F.col("id") == F.col("word"), "left")
+    row = F.sort_array(F.collect_list(F.struct("id", F.coalesce("held", F.lit(0)).alias("held"))))
+    return every.agg(row.getField("held")).scalar()
+
+
+def may_hold(held: Column, bit: Column) -> Column:
+    """False only if the bit is not set. Spark allows no subquery inside array functions: use it in filters and conditions."""
+    return F.getbit(F.get(held, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1

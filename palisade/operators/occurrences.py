@@ -1,9 +1,10 @@
 """Find many literal values in many texts, exactly and without comparing all pairs.
 
-Every value of at least ``WINDOW`` characters on one line has windows of ``WINDOW`` characters, and a
-text contains the value only if it contains each of them.  So one window per value becomes an equi-join
-key against the windows of the texts; the few survivors are then compared in full.  Values share a
-window only by chance: the one with the least hash is taken, not a common prefix.
+A run of characters is cut into its pieces of ``GRAM`` characters, and of every ``size - GRAM + 1`` neighbours the one with the least hash is
+a sample. The rule looks at nothing outside the run, so whatever contains a value of at least ``size`` characters has the value's own least
+sample among its samples: one 8-byte hash per value becomes an equi-join key against about a fifth of the positions of the texts. A bitmap
+of the values' keys drops nearly all of these before they are shuffled, and the survivors carry the stretch of text that they
+were found in, in which the value is then compared in full.
 """
 
 from __future__ import annotations
@@ -11,73 +12,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.text import each
+from palisade.functions.bitmap import bit_of, bitmap, may_hold
+from palisade.functions.text import LINE_BREAK, each
 
 WINDOW = 16
-BROADCAST_BYTES = 64 * 1024 * 1024
+GRAM = 8
 SALTS = 16
+#: texts beyond this many characters are looked at stretch by stretch; a sample carries its stretch until the bitmap lets it go
+STRETCH = 1 << 13
+STREAM_STRETCH = 1 << 18
 
-# overlapping windows: a look-ahead consumes nothing, so every start position is tried once
-_DENSE = r"(?s)(?=(\S{%d}))"
-_ANY = r"(?s)(?=([^\n\r]{%d}))"
+# runs that a value may lie in: unbroken ones, or lines for the few values made of short words
+_DENSE = r"\S{%d,}"
+_LINE = r"[^\n\r]{%d,}"
 
 
-def _windows(text: Column, pattern: str, size: int) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern % size), F.lit(1)))
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
 
 
-def _least_window(value: Column, pattern: str, size: int) -> Column:
-    hashed = F.transform(_windows(value, pattern, size), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))
-    return F.array_min(hashed)["w"]
+def _samples(text: Column, pattern: str, size: int) -> Column:
+    """Sample hashes of all runs of at least ``size`` characters."""
+    def of_run(run: Column) -> Column:
+        least = F.transform(F.regexp_extract_all(run, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), lambda gram: F.xxhash64(gram))
+        span, width = 1, size - GRAM + 1
+        while span < width:  # least of 2, 4, ... neighbours, then of all
+            step = min(span, width - span)
+            least = _let(least, lambda h, step=step: F.zip_with(
+                F.slice(h, F.lit(1), F.size(h) - step), F.slice(h, F.lit(1 + step), F.size(h) - step), lambda a, b: F.least(a, b)))
+            span += step
+        return least
 
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern % size), F.lit(0)))
+    return F.flatten(F.transform(runs, of_run))
 
-def fits_broadcast(keys: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure the value side: characters of its text columns and row overhead against the limit."""
-    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in keys.dtypes if kind == "string"]
-    size = keys.agg(F.sum(sum(text, F.lit(64)))).first()[0]
-    return (size or 0) <= limit
+
+def _stretches(texts: DataFrame, keep: list[str], longest: Column, size: int) -> DataFrame:
+    """``keep``, ``_part`` (a stretch and as much of what follows as a value may have) and ``_before`` (line breaks before it)."""
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{size}}}(?:(?<=\r)\n)?"), F.lit(0))  # no cut inside a line break
+    cut = texts.select(*keep, F.when(F.length("text") <= size, F.array("text")).otherwise(pieces).alias("_pieces"))
+    cut = cut.select(*keep, "_pieces", F.transform("_pieces", lambda p: F.size(F.split(p, LINE_BREAK)) - 1).alias("_breaks"))
+    cut = cut.select(*keep, "_pieces", "_breaks", F.posexplode("_pieces").alias("_at", "_piece"))
+    more = F.array_join(F.slice("_pieces", F.col("_at") + 2, F.ceil(longest / size).cast("int")), "")
+    before = F.aggregate(F.slice("_breaks", F.lit(1), F.col("_at")), F.lit(0), lambda n, b: n + b)
+    return cut.select(*keep, F.when(F.size("_pieces") == 1, F.col("_piece")).otherwise(F.concat("_piece", F.left(more, longest))).alias("_part"), before.alias("_before"))
 
 
 def literal_occurrences(texts: DataFrame, values: DataFrame, text_id: list[str], size: int = WINDOW,
                         broadcast: bool | None = None, salts: int = SALTS) -> DataFrame:
-    """``project_id, text_id..., text`` and the columns of ``values``, for every value contained in a text
-    of its project.
+    """``project_id, text_id...``, the columns of ``values`` and ``line`` (of the first occurrence, from 1), for every value contained in
+    a text of its project: one row per text and row of ``values``.
 
     ``texts``: ``project_id``, the ``text_id`` columns (a unique key with ``project_id``) and ``text``.
-    ``values``: ``project_id, value`` and any others; each value at least ``size`` characters long and free
-    of line breaks.
-    ``broadcast``: ``None`` measures the values and broadcasts them only below the limit; beyond it the
-    windows are shuffled by (project, window, salt), so one project or one value that occurs everywhere
-    is spread over ``salts`` tasks.
+    ``values``: ``project_id, value`` and any others; each value at least ``size`` characters long and free of line breaks.
+    ``broadcast``: ``None`` leaves it to Spark, which knows the size of the value side; ``True`` asks for a broadcast; ``False``
+    shuffles both sides by (project, sample, salt), so one project or one value that occurs everywhere is spread over ``salts`` tasks.
 
-    The values are persisted (memory, then disk): they are read for the measurement and by both branches.
+    Nothing runs before the result is used. On a stream the join has one static side and keeps no state, whatever the size of that
+    side; a text of more than ``STREAM_STRETCH`` characters can then give a value once per stretch, as only state could tell.
     """
-    dense, other = _least_window(F.col("value"), _DENSE, size), _least_window(F.col("value"), _ANY, size)
-    keys = (values.withColumn("_dense", dense)
-            .withColumn("_w", F.coalesce("_dense", other)).withColumn("_dense", F.col("_dense").isNotNull())).persist()
-    if broadcast is None:
-        broadcast = fits_broadcast(keys)
-    spaced = keys.filter(~F.col("_dense"))
-    # values made of short words are rare: look only at projects that have one
-    owners = spaced.select("project_id").distinct()
-    owned = texts.join(F.broadcast(owners) if broadcast else owners, "project_id", "left_semi")
-    return (_join_windows(texts, keys.filter("_dense"), text_id, _DENSE, size, broadcast, salts)
-            .unionByName(_join_windows(owned, spaced, text_id, _ANY, size, broadcast, salts)))
-
-
-def _join_windows(texts: DataFrame, keys: DataFrame, text_id: list[str], pattern: str, size: int,
-                  broadcast: bool, salts: int) -> DataFrame:
-    keys = keys.drop("_dense")
-    columns = ["project_id", *text_id, "text", *[c for c in keys.columns if c not in ("project_id", "_w")]]
-    windows = _windows(F.col("text"), pattern, size)
+    dense, spaced = _samples(F.col("value"), _DENSE, size), _samples(F.col("value"), _LINE, size)
+    named = [c for c in values.columns if c not in ("project_id", "value")]
+    keys = values.select("project_id", "value", *named, F.array_min(dense).alias("_dense"), F.array_min(spaced).alias("_spaced"))
+    keys = keys.select("project_id", "value", *named, F.coalesce("_dense", "_spaced").alias("_h"), F.col("_dense").isNull().alias("_short_words"))
+    # one bitmap holds the samples, and the projects with values made of short words
+    owner = bit_of("project_id", F.lit("short words"))
+    held = bitmap(keys.select(F.explode(F.array(bit_of("project_id", "_h"), F.when(F.col("_short_words"), owner))).alias("bit")).where("bit IS NOT NULL"), "bit")
+    longest = F.coalesce(values.agg(F.max(F.length("value"))).scalar(), F.lit(0))
+    parts = _stretches(texts, ["project_id", *text_id], longest, STREAM_STRETCH if texts.isStreaming else STRETCH)
+    text = F.col("_part")
+    hashes = F.concat(_samples(text, _DENSE, size), F.when(may_hold(held, owner), _samples(text, _LINE, size)).otherwise(F.array().cast("array<bigint>")))
+    kept = ["project_id", *text_id, "_part", "_before"]
+    spread = each(parts, F.array_distinct(hashes), "_h", *kept).where(may_hold(held, bit_of("project_id", "_h")))
+    keys = keys.drop("_short_words")
     if broadcast:
-        return (each(texts, windows, "_w", "project_id", *text_id, "text")
-                .join(F.broadcast(keys), ["project_id", "_w"])
-                .filter(F.col("text").contains(F.col("value"))).select(*columns))
-    # shuffle the windows without the text, then fetch the text of the candidates only
-    spread = (each(texts, windows, "_w", "project_id", *text_id)
-              .withColumn("_salt", F.pmod(F.xxhash64(*text_id), F.lit(salts)).cast("int")))
-    copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = spread.join(copies, ["project_id", "_w", "_salt"])
-    return (texts.join(pairs, ["project_id", *text_id])
-            .filter(F.col("text").contains(F.col("value"))).select(*columns))
+        pairs = spread.join(F.broadcast(keys), ["project_id", "_h"])
+    elif broadcast is None:
+        pairs = spread.join(keys, ["project_id", "_h"])
+    else:
+        salt = F.pmod(F.xxhash64(*text_id), F.lit(salts)).cast("int")
+        copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+        pairs = spread.withColumn("_salt", salt).join(copies, ["project_id", "_h", "_salt"])
+    found = F.instr(F.col("_part"), F.col("value"))
+    line = F.col("_before") + F.size(F.split(F.left("_part", found - 1), LINE_BREAK))
+    found = pairs.where(F.contains("_part", "value")).select("project_id", *text_id, "value", *named, line.cast("int").alias("line"))
+    if texts.isStreaming:
+        return found
+    # a value may lie in several stretches of a text
+    return found.groupBy("project_id", *text_id, "value", *named).agg(F.min("line").alias("line"))

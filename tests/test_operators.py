@@ -2,6 +2,7 @@
 
 import base64
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from palisade.checks.fixtures import Inputs
 from palisade.functions.text import numbered_lines
 from palisade.operators import code_scan, credentials, env_scan, http_posture, repo, report, scoring
-from palisade.operators.occurrences import fits_broadcast, literal_occurrences
+from palisade.operators.occurrences import literal_occurrences
 from palisade.operators.stacks import project_stacks
 from palisade.plans.fleet import Fleet, fleet_findings, fleet_report
 from palisade.rules.model import rule
@@ -35,10 +36,10 @@ def test_lines_are_those_of_splitlines(spark, text):
     assert [(r["line"], r["text"]) for r in got] == list(enumerate(text.splitlines(), 1))
 
 
-def test_profiles_prune_directories_and_large_files(spark):
+def test_profiles_prune_directories_and_keep_files_of_any_size(spark):
     files = files_of(spark, ("p", "src/a.js", "x"), ("p", "build/a.js", "x"), ("p", "a.md", "x"), ("p", "vendor/x/a.py", "x"),
                      ("p", "src/A.JS", "x"), ("p", "big.js", "x" * 1_000_001), ("p", "edge.js", "x" * 1_000_000))
-    assert {r.path for r in select_files(files, "code").collect()} == {"src/a.js", "src/A.JS", "edge.js"}
+    assert {r.path for r in select_files(files, "code").collect()} == {"src/a.js", "src/A.JS", "edge.js", "big.js"}
     env = files_of(spark, ("p", ".env", ""), ("p", "a/.env.local", ""), ("p", ".envrc", ""), ("p", "node_modules/.env", ""), ("p", "env.txt", ""))
     assert {r.path for r in select_files(env, "env").collect()} == {".env", "a/.env.local", ".envrc"}
     assert {r.path for r in select_files(env, "env_values").collect()} == {".env", "a/.env.local"}
@@ -117,22 +118,68 @@ def test_hsts_with_a_huge_age(spark):
     assert http_posture.hsts_strength(raw).count() == 0
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_occurrences_equal_brute_force(spark, broadcast):
-    values = ["abcdefghij0123456789", "abcdefghij0123456789X", "two words and some more text", "ends-with-this-long-token", "æøå-unicode-value-12345"]
+def occurrence_case(spark):
+    values = ["abcdefghij0123456789", "abcdefghij0123456789X", "two words and some more text", "ends-with-this-long-token", "æøå-unicode-value-12345",
+              "a long value " + "of many words " * 900 + "ends", "Z" * 70_000]
     texts = ["", "xxabcdefghij0123456789Xyy", "say two words and some more text!", "ends-with-this-long-token", "é æøå-unicode-value-12345 ",
-             "abcdefghij012345678", "abcdefghij0123456789" * 3, "a line\nends-with-this-long-toke\nn"]
+             "abcdefghij012345678", "abcdefghij0123456789" * 3, "a line\nends-with-this-long-toke\nn",
+             # values across the cut of a long text, after it, twice, and after line breaks of every kind around the cut
+             "p" * 65_530 + "abcdefghij0123456789" + "q" * 9, "x\r\n" * 30_000 + "ends-with-this-long-token\r\n" + "y" * 70_000 + "ends-with-this-long-token",
+             "l\n" * 32_767 + "r\r\n🙂 two words and some more text", "m" * 200_000 + "Z" * 70_000 + "n" * 3, "u " * 40_000 + values[5] + "."]
     owners = ("hot", "p1", "p2")
-    v = spark.createDataFrame([(o, x) for o in owners for x in values], "project_id string, value string")
-    t = spark.createDataFrame([(o, i, x) for o in owners for i, x in enumerate(texts)], "project_id string, id int, text string")
-    got = {(r.project_id, r.id, r.value) for r in literal_occurrences(t, v, ["id"], broadcast=broadcast).collect()}
-    assert got == {(o, i, x) for o in owners for i, y in enumerate(texts) for x in values if x in y}
-
+    v = spark.createDataFrame([(o, x, f"name{len(x)}") for o in owners for x in values], "project_id string, value string, name string")
+    t = spark.createDataFrame([(o, i, x) for o in owners for i, x in enumerate(texts)], "project_id string, id int, text string").repartition(6)
+    want = {(o, i, x, len(re.split("\r\n|\r|\n", y[:y.index(x)]))) for o in owners for i, y in enumerate(texts) for x in values if x in y}
+    return t, v, want
 
-def test_broadcast_is_measured(spark):
-    v = spark.createDataFrame([("p", "x" * 1000)] * 10, "project_id string, value string")
-    assert fits_broadcast(v) and not fits_broadcast(v, 10_000)
 
+@pytest.mark.parametrize("broadcast", [True, False, None])
+def test_occurrences_equal_brute_force(spark, broadcast):
+    t, v, want = occurrence_case(spark)
+    got = [(r.project_id, r.id, r.value, r.line) for r in literal_occurrences(t, v, ["id"], broadcast=broadcast).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_few_positions_of_texts_are_shuffled(spark, tmp_path):
+    """The bitmap stands before the exchange: far fewer rows than an eighth of the texts' bytes reach the join."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = docs.select(F.col("source").alias("project_id"), "doc_id", F.translate("text", " ", "_").alias("text"))
+    values = texts.groupBy("project_id").agg(F.max("text").alias("t")).select("project_id", F.substring(F.split("t", "\n")[0], 1, 24).alias("value")).where("length(value) >= 16")
+    found = literal_occurrences(texts, values, ["doc_id"], broadcast=False)
+    assert found.count() >= values.count() > 5
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0]
+    shuffled = [int(x) for x in re.findall(r"shuffleRecordsWritten -> (\d+)", str(node_metrics(found)))]
+    assert shuffled and max(shuffled) < n_bytes / 8 / 50
+
+
+def node_metrics(df):
+    """Rows written by the shuffles of a query that ran."""
+    qe = df._jdf.queryExecution()
+    qe.executedPlan().executeCollect()
+    out, todo = [], [qe.executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        metric = node.metrics().get("shuffleRecordsWritten")
+        if metric.isDefined():
+            out.append(f"shuffleRecordsWritten -> {metric.get().value()}")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_nothing_runs_before_the_occurrences_are_used(spark):
+    t, v, _ = occurrence_case(spark)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    literal_occurrences(t, v, ["id"])
+    assert len(tracker.getJobIdsForGroup(None)) == before and not spark.sparkContext._jsc.getPersistentRDDs()
 
 def findings(spark, n):
     return as_findings(spark.range(n).select(
@@ -203,3 +250,17 @@ def test_tokens_that_share_a_header_are_two_exposures(spark):
     hits = scan_text_secrets(texts)
     assert hits.count() == 2 and not any(head in str(v) for r in hits.collect() for v in r)
     assert exposure_dedup(hits.selectExpr("*", "CAST(NULL AS STRING) AS env_var")).count() == 2
+
+
+def test_stream_of_exposures_keeps_no_state(spark, tmp_path):
+    """A static side of any size is shuffled inside the micro-batch."""
+    schema = "project_id string, text_id long, source string, text string"
+    spark.createDataFrame([("p", i, "s", f"a {i} abcdefghij0123456789 b") for i in range(40)], schema).repartition(4).write.parquet(f"{tmp_path}/in")
+    values = spark.createDataFrame([("p", "abcdefghij0123456789")] + [("p", f"value-number-{i:08d}") for i in range(50_000)], "project_id string, value string")
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+    found = literal_occurrences(arriving, values, ["text_id", "source"], broadcast=False)
+    query = found.writeStream.format("memory").queryName("exposed").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("exposed").count() == 40
+    assert all(not p["stateOperators"] for p in query.recentProgress) and len(query.recentProgress) >= 2
+    assert not (tmp_path / "state" / "state").exists()
