@@ -10,6 +10,9 @@ Large rule tables are written as one SQL expression each: it is the same express
 
 from __future__ import annotations
 
+import json
+import re
+import zlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,13 @@ from pyspark.sql import functions as F
 from palisade.functions.text import LINE_BREAK, each
 from palisade.rules.model import Rule
 
+#: characters of a text that are looked at together
+CHUNK = 1 << 20
+#: anchors are found by so many letters or digits, in a table of so many slots
+GRAM, SLOTS = 4, 1 << 14
+#: letters from the most usual in texts to the least
+COMMON = "etaoinsrhdlucmfywgpbvkxqjz"
+
 
 def quote(text: str) -> str:
     """A SQL string literal."""
@@ -101,30 +111,115 @@ def rule_fields(rules: Sequence[Rule], order: str, names=("rule_id", "severity",
     return [pick(n) for n in names]
 
 
+def _gram(anchor: str) -> str | None:
+    """The ``GRAM`` letters or digits of an anchor, in lower case, that are the least usual in texts; null if it has too few."""
+    runs = re.findall("[a-z0-9]+", anchor.lower())
+    grams = [run[i:i + GRAM] for run in runs for i in range(len(run) - GRAM + 1)]
+    return max(grams, key=lambda g: (sum(COMMON.index(c) if c in COMMON else len(COMMON) for c in g), g), default=None)
+
+
+def _constant(values: list, kind: str) -> str:
+    """SQL of an array that is folded to one constant, however long."""
+    return f"from_json({quote(json.dumps(values))}, {quote(f'array<{kind}>')})"
+
+
+def _slot(gram: str) -> int:
+    return zlib.crc32(gram.encode()) % SLOTS
+
+
+def _candidates(rules: Sequence[tuple[int, Rule]]) -> str:
+    """SQL: the numbers of the rules that text ``c`` (``low`` in lower case) may match, by an index from the grams of anchors to rules.
+
+    The text's different words are taken once and their grams looked up; anchors with a gram in the text, and those too short to have one,
+    are then searched."""
+    anchors = [(i, r.ignores_case, a) for i, r in rules for a in r.anchors]
+    table: list[list[int]] = [[] for _ in range(SLOTS)]
+    always = []
+    for n, (_, _, a) in enumerate(anchors):
+        gram = _gram(a)
+        (table[_slot(gram)] if gram else always).append(n)
+    grams = sorted({g for _, _, a in anchors if (g := _gram(a))})
+    words = "array_join(array_distinct(split(low, '[^a-z0-9]+')), ' ')"
+    held = f"array_intersect(regexp_extract_all({words}, '(?=([a-z0-9]{{{GRAM}}}))', 1), {_constant(grams, 'string')})"
+    looked_up = f"flatten(transform({held}, g -> get({_constant(table, 'array<int>')}, CAST(crc32(g) % {SLOTS} AS INT))))"
+    folded, spelled = _constant([f for _, f, _ in anchors], "boolean"), _constant([a for _, _, a in anchors], "string")
+    found = f"filter(concat({looked_up}, {_constant(always, 'int')}), n -> contains(CASE WHEN get({folded}, n) THEN low ELSE c END, get({spelled}, n)))"
+    numbers = f"transform({found}, n -> get({_constant([i for i, _, _ in anchors], 'int')}, n))"
+    return f"array_sort(array_distinct(concat({numbers}, {_constant([i for i, r in rules if not r.anchors], 'int')})))"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _lines_of(text: str) -> str:
+    """``numbered_lines`` as SQL."""
+    kept = "CASE WHEN element_at(p, -1) = '' THEN slice(p, 1, size(p) - 1) ELSE p END"
+    return _let(f"split({text}, {quote(LINE_BREAK)})", "p", f"transform({kept}, (x, i) -> named_struct('line', i + 1, 'text', x))")
+
+
+def _hit_lines(rules: Sequence[tuple[int, Rule]], first_only: bool) -> str:
+    """SQL: the lines of ``ls`` that rule ``n`` matches. Its expression is tried where one of its literals stands, and no longer than needed."""
+    last = max(i for i, _ in rules) + 1
+    by_number = dict(rules)
+    of = lambda value, none: [value(by_number[i]) if i in by_number else none for i in range(last)]
+    regex = f"get({_constant(of(lambda r: r.regex, ''), 'string')}, n)"
+    anchors = f"get({_constant(of(lambda r: list(r.anchors) or [''], []), 'array<string>')}, n)"
+    folds = f"get({_constant(of(lambda r: r.ignores_case, False), 'boolean')}, n)"
+    spelled = f"CASE WHEN {folds} THEN lower(l.text) ELSE l.text END"
+    test = f"exists({anchors}, a -> contains({spelled}, a)) AND l.text RLIKE {regex}"
+    if not first_only:
+        return f"filter(ls, l -> {test})"
+    return f"filter(array(aggregate(ls, CAST(NULL AS STRUCT<line: INT, text: STRING>), (f, l) -> CASE WHEN f IS NOT NULL THEN f WHEN {test} THEN l END)), f -> f IS NOT NULL)"
+
+
 def file_hits(files: DataFrame, rules: Sequence[Rule], applies: Callable[[Rule], str] | None = None,
-              first_only: bool = True) -> DataFrame:
+              first_only: bool = True, chunk: int = CHUNK) -> DataFrame:
     """Hits of every rule in every file: one row per hit, or per (file, rule) when ``first_only``.
 
-    ``files`` needs ``content`` and ``lines`` (see ``numbered_lines``); its other columns are kept.
-    ``applies`` names, as SQL, the files a rule reads.
+    ``files`` needs ``content``; its other columns are kept. ``applies`` names, as SQL, the files a rule reads.
+
+    The rules that a text may match are looked up by the grams of its words, so a rule without a word in a text costs that text nothing, and
+    a text without any is not split. A text of more than ``chunk`` characters is looked at in chunks of whole lines, one after the
+    other in its row; rules over whole files still see it whole.
     """
-    def found(order: int, r: Rule) -> str:
-        gate = _may_match(r, "content", "_lowered")
-        if applies is not None:
-            gate = f"{applies(r)} AND {gate}"
+    numbered = list(enumerate(rules, 1))
+    line_rules = [(i, r) for i, r in numbered if r.scope != "file"]
+
+    def read(r: Rule, test: str) -> str:
+        return f"{applies(r)} AND {test}" if applies is not None else test
+
+    # a rule that reads only some files is left out in the others
+    restricted = [(i, applies(r)) for i, r in line_rules] if applies is not None else []
+    tests = sorted({t for _, t in restricted})
+    unread = [f"CASE WHEN NOT coalesce({t}, false) THEN {_constant([i for i, own in restricted if own == t], 'int')} ELSE CAST(array() AS ARRAY<INT>) END" for t in tests]
+    candidates = _candidates(line_rules) if line_rules else ""
+    candidates = f"array_except({candidates}, concat({', '.join(unread)}))" if unread else candidates
+    none = "CAST(array() AS ARRAY<STRUCT<rule_order: INT, hits: ARRAY<STRUCT<line: INT, text: STRING>>>>)"
+    if line_rules:
+        of_lines = _let(_lines_of("c"), "ls", f"filter(transform(chosen, n -> named_struct('rule_order', n, 'hits', {_hit_lines(line_rules, first_only)})), s -> size(s.hits) > 0)")
+        of_chunk = f"CASE WHEN size(chosen) > 0 THEN {of_lines} ELSE {none} END"
+        of_chunk = _let("lower(c)", "low", _let(candidates, "chosen", of_chunk))
+        pattern = quote(rf"(?s).{{1,{chunk}}}[^\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]*(?:{LINE_BREAK}|\z)")
+        before = f"aggregate(slice(cs, 1, k), 0, (n, x) -> n + size(split(x, {quote(LINE_BREAK)})) - 1)"
+        moved = f"transform({of_chunk}, s -> named_struct('rule_order', s.rule_order, 'hits', transform(s.hits, l -> named_struct('line', l.line + before, 'text', l.text))))"
+        chunks = f"flatten(transform(cs, (c, k) -> CASE WHEN k = 0 THEN {of_chunk} ELSE {_let(before, 'before', moved)} END))"
+        chunks = f"CASE WHEN length(content) <= {chunk} THEN {_let('content', 'c', of_chunk)} ELSE {_let(f'regexp_extract_all(content, {pattern}, 0)', 'cs', chunks)} END"
+    else:
+        chunks = none
+    whole = []
+    for i, r in numbered:
         if r.scope == "file":
             before = f"element_at(split(content, {quote(r.regex)}, 2), 1)"
-            at = f"element_at(lines, size(split({before}, {quote(LINE_BREAK)})))"
-            hits, gate = f"array({at})", f"{gate} AND content RLIKE {quote(r.regex)}"
-        else:
-            hits = f"filter(lines, l -> l.text RLIKE {quote(r.regex)})"
-            hits = f"slice({hits}, 1, 1)" if first_only else hits
-        return f"CASE WHEN {gate} THEN named_struct('rule_order', {order}, 'hits', {hits}) END"
-
-    per_rule = F.expr("filter(array(" + ", ".join(found(i, r) for i, r in enumerate(rules, 1)) + "), s -> size(s.hits) > 0)")
-    kept = [c for c in files.columns if c not in ("content", "lines")]
+            at = f"element_at({_lines_of('content')}, size(split({before}, {quote(LINE_BREAK)})))"
+            gate = read(r, f"{_may_match(r, 'content', 'lower(content)')} AND content RLIKE {quote(r.regex)}")
+            whole.append(f"CASE WHEN {gate} THEN named_struct('rule_order', {i}, 'hits', array({at})) END")
+    hits = f"concat({chunks}, filter(array({', '.join(whole)}), s -> size(s.hits) > 0))" if whole else chunks
+    if first_only:  # of several chunks the first that has a hit of the rule
+        hits = _let(hits, "hs", "filter(hs, (s, i) -> NOT exists(slice(hs, 1, i), e -> e.rule_order = s.rule_order))")
+    kept = [c for c in files.columns if c != "content"]
     return (
-        each(files.withColumn("_lowered", F.lower("content")), per_rule, "_rule", *kept)
+        each(files, F.expr(hits), "_rule", *kept)
         .select(*kept, F.col("_rule.rule_order").alias("rule_order"), F.explode("_rule.hits").alias("_hit"))
         .select(*kept, "rule_order", *rule_fields(rules, "rule_order"),
                 F.col("_hit.line").alias("line"), F.col("_hit.text").alias("text"))

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.matching import any_may_match, file_hits, mask_matches, rule_fields
-from palisade.functions.text import numbered_lines, strip
+from palisade.functions.matching import file_hits, mask_matches, rule_fields
+from palisade.functions.text import strip
 from palisade.rules.code import CODE_RULES
 from palisade.rules.model import Rule
 from palisade.rules.profiles import CODE
@@ -22,8 +22,8 @@ SECRET_PACK = "hardcoded_secret"
 def scan_code_lines(files: DataFrame, rules: Sequence[Rule] = CODE_RULES, first_only: bool = False) -> DataFrame:
     """Every rule on every line of the code profile (RS-1); ``rules`` may be the caller's own (EX-1).
 
-    One pass, no shuffle: a file is dropped before it is split if no rule's literal occurs in it, and
-    the first line per rule is taken inside the row.
+    One pass, no shuffle: only the rules whose words a file has are tried, on the lines that hold their literals, and the first line
+    per rule is taken inside the row.
     """
     files = with_name_parts(files)
     extra = sorted({n for r in rules for n in r.extra_names})
@@ -34,9 +34,8 @@ def scan_code_lines(files: DataFrame, rules: Sequence[Rule] = CODE_RULES, first_
         # implied by the line above, but in a form that reaches the parquet scan
         files = files.filter(F.col("ext").isin(*CODE.extensions) | F.col("name").isin(*extra))
     prepared = (
-        files.filter(wanted).filter(any_may_match(rules, "content"))
-        .select("project_id", F.col("path").alias("file"), "name", is_code.alias("_code"), "content",
-                numbered_lines(F.col("content")).alias("lines"))
+        files.filter(wanted)
+        .select("project_id", F.col("path").alias("file"), "name", is_code.alias("_code"), "content")
     )
 
     def applies(r: Rule):
