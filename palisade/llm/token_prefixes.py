@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,6 @@ COUNTS = ("array<int>", pa.list_(pa.int32()))
 #: a step is a count above this many bits and the number of the last piece in them
 SHIFT = 20
 LAST = (1 << SHIFT) - 1
-#: pieces of these lengths may end anywhere
-SHORT = (2, 1)
 #: counts of segments of up to this many characters are remembered: the last so many, and as many before them
 REMEMBERED_CHARS, REMEMBERED = 48, 1_000_000
 
@@ -99,14 +98,13 @@ class PrefixCounter:
         #: when a piece of several characters is merged: the best score first
         self.turn = {p: -s for p, s in model.scores.items() if len(p) > 1}
         self.spelled = ["", *sorted(self.letters | model.halves.keys())]
-        self.pieces = {piece: i for i, piece in enumerate(self.spelled) if piece}
         self.cost = [(1 if piece in model.scores else len(piece.encode())) << SHIFT for piece in self.spelled]
-        sizes: dict[str, set[int]] = {}
-        for piece in self.pieces:
-            for tail in {piece[-k:] for k in (1, 2, 3)}:
-                sizes.setdefault(tail, set()).add(len(piece))
-        #: lengths of the pieces that end in the same three characters, or in the two or one that a text begins with; the longest first
-        self.tails = {tail: tuple(sorted(found | set(SHORT), reverse=True)) for tail, found in sizes.items()}
+        self.length = list(map(len, self.spelled))
+        self.longest = max(self.length)
+        self.pieces = ahocorasick.Automaton()
+        for i, piece in enumerate(self.spelled[1:], 1):
+            self.pieces.add_word(piece, i)
+        self.pieces.make_automaton()
         # whole numbers only: the garbage collector need not look at them
         self.whole: dict[int, bool] = {}
         #: counts of segments, those of the last batches and the ones before; of long ones only the last batch's
@@ -158,27 +156,38 @@ class PrefixCounter:
 
     def _extend(self, text: str, steps: list[int]) -> None:
         """``steps`` holds a step for each of the shortest prefixes of ``text``, the empty one first; those of the others are added. A step
-        is the count and the number of the last piece (0: bytes, or none) as one whole number."""
-        whole, pieces, tails, cost = self.whole, self.pieces, self.tails, self.cost
-        for n in range(len(steps), len(text) + 1):
-            for size in tails.get(text[n - 3:n] if n > 2 else text[:n], SHORT):
-                piece = pieces.get(text[n - size:n])
-                if piece and size <= n:
-                    step = steps[n - size]
-                    before = step & LAST
-                    if before:
-                        pair = before << SHIFT | piece
-                        stay = whole.get(pair)
-                        if stay is None:
-                            if len(whole) >= REMEMBERED:
-                                whole.clear()
-                            stay = whole[pair] = self._side_by_side(self.spelled[before], self.spelled[piece])
-                        if not stay:
-                            continue
-                    steps.append((step - before) + cost[piece] + piece)
-                    break
-            else:  # no piece holds this character: its bytes, and nothing merges across them
-                steps.append((steps[n - 1] & ~LAST) + (len(text[n - 1].encode("utf-8", "replace")) << SHIFT))
+        is the count and the number of the last piece (0: bytes, or none) as one whole number. An automaton names the pieces that end at each
+        character, the longest first."""
+        whole, cost, length = self.whole, self.cost, self.length
+        done = len(steps)
+        for end, piece in self.pieces.iter(text, max(0, done - self.longest)):
+            end += 1
+            if end < done:
+                continue
+            while done < end:  # characters that no piece holds
+                self._bytes(text, steps)
+                done += 1
+            step = steps[end - length[piece]]
+            before = step & LAST
+            if before:
+                pair = before << SHIFT | piece
+                stay = whole.get(pair)
+                if stay is None:
+                    if len(whole) >= REMEMBERED:
+                        whole.clear()
+                    stay = whole[pair] = self._side_by_side(self.spelled[before], self.spelled[piece])
+                if not stay:
+                    continue
+            steps.append((step - before) + cost[piece] + piece)
+            done += 1
+        while done <= len(text):
+            self._bytes(text, steps)
+            done += 1
+
+    @staticmethod
+    def _bytes(text: str, steps: list[int]) -> None:
+        """The next character is its bytes, and nothing merges across them."""
+        steps.append((steps[-1] & ~LAST) + (len(text[len(steps) - 1].encode("utf-8", "replace")) << SHIFT))
 
     def _learn(self, lists: list[list[str]]) -> None:
         """Make the counts of all segments known. In sorted order a segment goes on from what it shares with the one before it."""
@@ -191,11 +200,9 @@ class PrefixCounter:
         known.update({segment: older[segment] for segment in new if segment in older})
         steps, before = [0], ""
         for segment in sorted(new.difference(older)):
-            same = 0
-            for a, b in zip(segment, before, strict=False):
-                if a != b:
-                    break
-                same += 1
+            same = len(before)
+            while not segment.startswith(before[:same]):
+                same -= 1
             del steps[same + 1:]
             self._extend(segment, steps)
             known[segment] = steps[-1] >> SHIFT
