@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import base64
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +21,7 @@ from palisade.rules.code import CODE_RULES
 from palisade.rules.datastores import AUTH_COMBOS, CRITICAL_TABLES
 from palisade.session import prepare
 from palisade.sources.captures import parse_header_block
+from palisade.sources.shared import new_folder
 
 
 def text_sql(text: str) -> str:
@@ -322,9 +321,8 @@ _STORED: dict[tuple[str, str, str], str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place the cluster names; local runs use the system's own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/palisade-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="palisade-")
+    """A new folder in the shared place."""
+    return new_folder(spark, "check")
 
 
 class Inputs:
@@ -342,13 +340,13 @@ class Inputs:
         cores = self.spark.sparkContext.defaultParallelism
         if given.rdd.getNumPartitions() >= cores:
             return given
-        return self._stored(name, lambda: given.repartition(cores))
+        return self.stored(name, lambda: given.repartition(cores))
 
     def _derived(self, name: str) -> DataFrame:
         """The derived table, written once per session as files, so that a query reads a table like any other."""
-        return self._stored(name, lambda: self.derive(name))
+        return self.stored(name, lambda: self.derive(name))
 
-    def _stored(self, name: str, build) -> DataFrame:
+    def stored(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STORED:
             path = f"{scratch(self.spark)}/{name}"

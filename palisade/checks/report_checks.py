@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.checks.fixtures import scratch, values_sql
-from palisade.checks.live_checks import _ALL_HTTP
+from palisade.checks.live_checks import _ALL_HTTP, EXPOSED_SQL, HINTS_SQL, open_sql
 from palisade.checks.registry import check
+from palisade.checks.traffic_checks import DEDUP_SQL
 from palisade.checks.sql import BLOCKS, first_rule, lines_of, lit, match, rules_table, strip, with_
 from palisade.checks.static_checks import (
-    CODE_LINES, ENV_FINDINGS_SQL, IGNORE_BLOCKS, IGNORE_SQL, LEAKS_SQL, LITERAL_LINES, STACKS, DEPS, TRACKED, TRACKED_SQL,
-    VAULT_SQL, _shown, code_hits_sql,
+    CODE_LINES, COMMIT_BLOCKS, COMMIT_SQL, DEPS, ENV_FINDINGS_SQL, IGNORE_BLOCKS, IGNORE_SQL, LEAKS_SQL, LITERAL_LINES, STACKS,
+    TEMPLATE_SQL, TRACKED, TRACKED_SQL, VAULT_SQL, _shown, code_findings_sql, code_hits_sql,
 )
-from palisade.operators import code_scan, env_scan, http_posture, leaks, repo, report, scoring, stacks
+from palisade.operators import code_scan, report, scoring, stacks
 from palisade.plans import corpus
+from palisade.plans.fleet import Fleet, fleet_findings, fleet_report
 from palisade.rules.code import CODE_RULES
 from palisade.rules.guidance import (
     ENV_FILE_EXPLANATION, ENV_FILE_REMEDY, ENV_FILE_TITLE, ENV_FILE_WORDS, GUIDANCE, SECTION_TITLES, VERDICTS,
 )
 from palisade.rules.secrets import ENV_FORMATS, TRAFFIC_SECRETS
-from palisade.schema import as_findings
 from palisade.sources.files import projects_of
 from palisade.sources.sinks import write_findings, write_report
 
@@ -75,34 +76,44 @@ def _(inp):
 
 # ------------------------------------------------------------------ findings of several scans
 
-_COLUMNS = ("project_id", "rule_id", "severity", "description", "detail", "file", "line", "header", "env_var", "env_source", "source")
+_COLUMNS = ("project_id", "rule_id", "severity", "description", "detail", "file", "line", "header", "table_name", "env_var", "env_source", "source")
+_VAULT_FILE = VAULT_SQL.replace("AS detail", "AS detail, CASE path WHEN '.env.keys' THEN path END AS file")
+_EXPOSED_RULE = "CASE WHEN starts_with(description, 'Supabase') THEN 'datastore.anon_key' ELSE 'datastore.firebase_key' END"
+_OPEN_RULE = "CASE WHEN auth_combo = 'no-auth' THEN 'probe.no_auth' WHEN key_role = 'service_role' THEN 'probe.service_role' ELSE 'probe.anon' END"
+#: every scan: its SQL, the columns it has, and its rule as SQL where it has none
 _PARTS = {
-    "env": (ENV_FINDINGS_SQL, {"rule_id", "file", "line"}), "vault": (VAULT_SQL, {"rule_id"}),
-    "ignore": (IGNORE_SQL, {"rule_id"}), "tracked": (TRACKED_SQL, {"file"}),
-    "leak": (LEAKS_SQL, {"rule_id", "file", "line", "env_var", "env_source"}),
-    "http": (_ALL_HTTP, {"rule_id", "header", "source"}),
+    "env": (ENV_FINDINGS_SQL, {"rule_id", "file", "line"}, ""), "vault": (_VAULT_FILE, {"rule_id", "file"}, ""), "template": (TEMPLATE_SQL, {"rule_id"}, ""),
+    "ignore": (IGNORE_SQL, {"rule_id"}, ""), "tracked": (TRACKED_SQL, {"file"}, "'repo.tracked_env'"),
+    "code": (code_findings_sql(CODE_RULES), {"rule_id", "file", "line"}, ""),
+    "leak": (LEAKS_SQL, {"rule_id", "file", "line", "env_var", "env_source"}, ""), "commit": (COMMIT_SQL, {"rule_id"}, ""),
+    "http": (_ALL_HTTP, {"rule_id", "header", "source"}, ""), "hints": (HINTS_SQL, set(), "'datastore.hint'"), "keys": (EXPOSED_SQL, set(), _EXPOSED_RULE),
+    "probe": (open_sql("ASC"), {"table_name"}, _OPEN_RULE), "traffic": (DEDUP_SQL, {"rule_id", "source", "env_var", "env_source"}, ""),
 }
 
 
-def _part(sql: str, have: set[str], rule_id: str) -> str:
+def _part(sql: str, have: set[str], rule: str) -> str:
     always = {"project_id", "severity", "description", "detail"}
-    cols = ", ".join(c if c in have | always else f"'{rule_id}' AS rule_id" if c == "rule_id"
+    cols = ", ".join(c if c in have | always else f"{rule} AS rule_id" if c == "rule_id"
                      else f"CAST(NULL AS {'INTEGER' if c == 'line' else 'VARCHAR'}) AS {c}" for c in _COLUMNS)
     return f"SELECT {cols} FROM ({sql})"
 
 
-FINDINGS = ["scan_lines", *IGNORE_BLOCKS, "last_values", LITERAL_LINES, TRACKED, "heads",
-            ("findings", " UNION ALL ".join(_part(sql, have, "repo.tracked_env") for sql, have in _PARTS.values()) +
-             " UNION ALL " + _part("""SELECT project_id, 'critical' AS severity, '.env.keys fil fundet – indeholder master-krypteringsnøgler' AS description,
-                '' AS detail FROM fx_files WHERE false""", set(), "none"))]
+FINDINGS = ["scan_lines", *IGNORE_BLOCKS, "last_values", LITERAL_LINES, TRACKED, "heads", "projects", CODE_LINES, DEPS, STACKS, *COMMIT_BLOCKS, "stores", "open_cells",
+            "exposures", ("findings", " UNION ALL ".join(_part(*part) for part in _PARTS.values()))]
+
+
+def fleet_of(inp) -> Fleet:
+    return Fleet(inp.files, inp.commits, inp.tracked, inp.responses, inp.traffic, inp.pages, inp.probes)
 
 
 def findings_of(inp) -> DataFrame:
-    files = inp.files
-    # the vault's finding names its file; leave that to the check of the operator itself
-    vault = as_findings(env_scan.vault_files(files).drop("file"))
-    return scoring.union_findings(env_scan.env_findings(files), vault, repo.ignore_coverage(files), repo.tracked_env_files(inp.tracked),
-                                  leaks.hardcoded_env_values(files), http_posture.header_findings(inp.responses))
+    """The findings of the whole fleet, by all scans, written once per session like a user's."""
+    return inp.stored("findings", lambda: fleet_findings(fleet_of(inp)))
+
+
+@check("fleet_findings", with_(*FINDINGS, select=f"SELECT {', '.join(_COLUMNS)} FROM findings"))
+def _(inp):
+    return fleet_findings(fleet_of(inp)).select(*_COLUMNS)
 
 
 @check("so1_union_findings", with_(*FINDINGS, select=f"SELECT {', '.join(_COLUMNS)} FROM findings"))

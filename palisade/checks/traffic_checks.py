@@ -73,9 +73,9 @@ def exposure_sql(texts: str) -> str:
 
 BLOCKS["all_texts"] = (("texts", "fragments"), "SELECT project_id, text_id, kind, source, text FROM texts UNION ALL SELECT project_id, text_id, kind, source, text FROM fragments")
 BLOCKS["exposures"] = (("all_texts", "patterns"), f"""
-    SELECT project_id, text_id, source, rule_id, severity, description, detail, match_hash, NULL AS env_var, false AS dynamic_match FROM ({secrets_sql('all_texts')})
-    UNION ALL SELECT project_id, text_id, source, 'exposure.env_value', severity, description, detail, NULL, env_var, true FROM ({exposure_sql('all_texts')})""")
-DEDUP_SQL = """SELECT project_id, source, rule_id, severity, description, detail, dynamic_match FROM (SELECT *, row_number() OVER (PARTITION BY project_id,
+    SELECT project_id, text_id, source, rule_id, severity, description, detail, match_hash, NULL AS env_var, NULL AS env_source, false AS dynamic_match FROM ({secrets_sql('all_texts')})
+    UNION ALL SELECT project_id, text_id, source, 'exposure.env_value', severity, description, detail, NULL, env_var, env_source, true FROM ({exposure_sql('all_texts')})""")
+DEDUP_SQL = """SELECT project_id, source, rule_id, severity, description, detail, env_var, env_source, dynamic_match FROM (SELECT *, row_number() OVER (PARTITION BY project_id,
       dynamic_match, CASE WHEN dynamic_match THEN env_var ELSE description END, source, match_hash
       ORDER BY text_id, source, detail) AS r FROM exposures) WHERE r = 1"""
 _SECRET_COLS = ("project_id", "text_id", "source", "rule_id", "severity", "description", "match_hash", "detail")
@@ -139,7 +139,7 @@ for _name, _broadcast in (("jn2_env_value_exposure", None), ("jn2_env_value_expo
 @check("wd10_exposure_dedup", with_("exposures", select=DEDUP_SQL))
 def _(inp):
     return tr.traffic_findings(inp.traffic, patterns_of(inp), inp.pages).select(
-        "project_id", "source", "rule_id", "severity", "description", "detail", "dynamic_match")
+        "project_id", "source", "rule_id", "severity", "description", "detail", "env_var", "env_source", "dynamic_match")
 
 
 @check("ag10_scan_coverage", with_("fx_traffic", "probe_tables", "unique_keys", "patterns", select="""SELECT p.project_id,

@@ -173,15 +173,12 @@ def _hit_lines(rules: Sequence[tuple[int, Rule]], first_only: bool) -> str:
     return f"filter(array(aggregate(ls, CAST(NULL AS STRUCT<line: INT, text: STRING>), (f, l) -> CASE WHEN f IS NOT NULL THEN f WHEN {test} THEN l END)), f -> f IS NOT NULL)"
 
 
-def file_hits(files: DataFrame, rules: Sequence[Rule], applies: Callable[[Rule], str] | None = None,
-              first_only: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """Hits of every rule in every file: one row per hit, or per (file, rule) when ``first_only``.
-
-    ``files`` needs ``content``; its other columns are kept. ``applies`` names, as SQL, the files a rule reads.
+def hits_column(rules: Sequence[Rule], applies: Callable[[Rule], str] | None = None, first_only: bool = True, chunk: int = CHUNK) -> Column:
+    """``array<struct<rule_order, hits: array<struct<line, text>>>>`` of the column ``content``.
 
-    The rules that a text may match are looked up by the grams of its words, so a rule without a word in a text costs that text nothing, and
-    a text without any is not split. A text of more than ``chunk`` characters is looked at in chunks of whole lines, one after the
-    other in its row; rules over whole files still see it whole.
+    ``applies`` names, as SQL, the files a rule reads. The rules that a text may match are looked up by the grams of its words, so a rule
+    without a word in a text costs that text nothing, and a text without any is not split. A text of more than ``chunk`` characters is looked
+    at in chunks of whole lines, one after the other in its row; rules over whole files still see it whole.
     """
     numbered = list(enumerate(rules, 1))
     line_rules = [(i, r) for i, r in numbered if r.scope != "file"]
@@ -217,9 +214,18 @@ def file_hits(files: DataFrame, rules: Sequence[Rule], applies: Callable[[Rule],
     hits = f"concat({chunks}, filter(array({', '.join(whole)}), s -> size(s.hits) > 0))" if whole else chunks
     if first_only:  # of several chunks the first that has a hit of the rule
         hits = _let(hits, "hs", "filter(hs, (s, i) -> NOT exists(slice(hs, 1, i), e -> e.rule_order = s.rule_order))")
-    kept = [c for c in files.columns if c != "content"]
+    return F.expr(hits)
+
+
+def file_hits(files: DataFrame, rules: Sequence[Rule], applies: Callable[[Rule], str] | None = None,
+              first_only: bool = True, chunk: int = CHUNK, column: str | None = None) -> DataFrame:
+    """Hits of every rule in every file: one row per hit, or per (file, rule) when ``first_only``.
+
+    ``files`` needs ``content``, or in ``column`` what ``hits_column`` gives; its other columns are kept.
+    """
+    kept = [c for c in files.columns if c not in ("content", column)]
     return (
-        each(files, F.expr(hits), "_rule", *kept)
+        each(files, F.col(column) if column else hits_column(rules, applies, first_only, chunk), "_rule", *kept)
         .select(*kept, F.col("_rule.rule_order").alias("rule_order"), F.explode("_rule.hits").alias("_hit"))
         .select(*kept, "rule_order", *rule_fields(rules, "rule_order"),
                 F.col("_hit.line").alias("line"), F.col("_hit.text").alias("text"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.matching import file_hits, mask_matches, rule_fields
+from palisade.functions.matching import file_hits, hits_column, mask_matches, rule_fields
 from palisade.functions.text import strip
 from palisade.rules.code import CODE_RULES
 from palisade.rules.model import Rule
@@ -19,12 +19,28 @@ EVIDENCE_CHARS = 120
 SECRET_PACK = "hardcoded_secret"
 
 
+def _applies(r: Rule) -> str:
+    names = ", ".join(f"'{n}'" for n in r.extra_names)
+    return f"(_code OR name IN ({names}))" if names else "_code"
+
+
+def with_code_hits(files: DataFrame) -> DataFrame:
+    """Files with ``code_hits``: the first line per rule of the whole table, null in files that no rule reads."""
+    extra = sorted({n for r in CODE_RULES for n in r.extra_names})
+    hits = hits_column(CODE_RULES, _applies, first_only=True)
+    wanted = F.col("_code") | F.col("name").isin(*extra)
+    return files.withColumn("_code", in_profile(CODE)).withColumn("code_hits", F.when(wanted, hits)).drop("_code")
+
+
 def scan_code_lines(files: DataFrame, rules: Sequence[Rule] = CODE_RULES, first_only: bool = False) -> DataFrame:
     """Every rule on every line of the code profile (RS-1); ``rules`` may be the caller's own (EX-1).
 
     One pass, no shuffle: only the rules whose words a file has are tried, on the lines that hold their literals, and the first line
-    per rule is taken inside the row.
+    per rule is taken inside the row. Hits that a shared scan has found are not looked for again.
     """
+    if first_only and rules is CODE_RULES and "code_hits" in files.columns:
+        found = files.select("project_id", F.col("path").alias("file"), "code_hits")
+        return file_hits(found, rules, column="code_hits").select("*", *rule_fields(rules, "rule_order", ("stack",)))
     files = with_name_parts(files)
     extra = sorted({n for r in rules for n in r.extra_names})
     is_code = in_profile(CODE)
@@ -37,12 +53,7 @@ def scan_code_lines(files: DataFrame, rules: Sequence[Rule] = CODE_RULES, first_
         files.filter(wanted)
         .select("project_id", F.col("path").alias("file"), "name", is_code.alias("_code"), "content")
     )
-
-    def applies(r: Rule):
-        names = ", ".join(f"'{n}'" for n in r.extra_names)
-        return f"(_code OR name IN ({names}))" if names else "_code"
-
-    hits = file_hits(prepared, rules, applies, first_only)
+    hits = file_hits(prepared, rules, _applies, first_only)
     return hits.select("*", *rule_fields(rules, "rule_order", ("stack",))).drop("name", "_code")
 
 

@@ -12,9 +12,10 @@ from palisade.rules.datastores import (
     BODY_TYPE_PATTERNS, DIALECT_PATTERN, HEADER_TYPES, HINT_KEYS, HINTS, KEY_NAME_PATTERNS, ORM_PROVIDERS,
     ORM_PROVIDER_PATTERN, ORM_URL_ENV_PATTERN, ORM_URL_PATTERN, VALUE_PATTERNS,
 )
+from palisade.rules.profiles import PROFILES
 from palisade.rules.secrets import JWT_PAYLOAD, URL_VALUE_OF_KEY_LAYER
 from palisade.schema import as_findings
-from palisade.sources.files import select_files
+from palisade.sources.files import in_profile, select_files
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -56,16 +57,26 @@ def datastore_by_key_name(files: DataFrame) -> DataFrame:
     )
 
 
+def with_value_hits(files: DataFrame) -> DataFrame:
+    """Files with ``value_hits``: the first match of every value pattern, null outside the profile.
+
+    A pattern's match lies within one line, so only the lines that hold ``://`` or the beginning of a key are looked at.
+    """
+    def may(text: Column) -> Column:
+        return text.contains("://") | text.contains("eyJ") | text.contains("AIza") | F.lower(text).contains("fnaeta")
+
+    lines = F.array_join(F.filter(F.split("content", "[\\n\\r]"), may), "\n")
+    found = F.transform(F.array(lines), lambda text: F.filter(
+        F.array(*[F.struct(F.lit(i).alias("n"), _found(text, p).alias("v")) for i, (p, _, _) in enumerate(VALUE_PATTERNS, 1)]),
+        lambda s: s["v"].isNotNull()))[0]
+    return files.withColumn("value_hits", F.when(in_profile(PROFILES["datastore"]) & may(F.col("content")), found))
+
+
 def value_hits(files: DataFrame) -> DataFrame:
     """First match of every value pattern in every file: ``project_id, path, pattern_no, type, field, value``."""
-    text = F.col("content")
-    found = F.filter(
-        F.array(*[F.struct(F.lit(i).alias("n"), _found(text, p).alias("v"))
-                  for i, (p, _, _) in enumerate(VALUE_PATTERNS, 1)]),
-        lambda s: s["v"].isNotNull())
+    looked = files if "value_hits" in files.columns else with_value_hits(select_files(files, "datastore"))
     return (
-        each(select_files(files, "datastore").filter(text.contains("://") | text.rlike("eyJ|AIza|fnAETA")),
-             found, "h", "project_id", "path")
+        each(looked, F.col("value_hits"), "h", "project_id", "path")
         .select("project_id", "path", F.col("h.n").alias("pattern_no"),
                 F.get(lit_array([t for _, t, _ in VALUE_PATTERNS]), F.col("h.n") - 1).alias("type"),
                 F.get(lit_array([f for _, _, f in VALUE_PATTERNS]), F.col("h.n") - 1).alias("field"),

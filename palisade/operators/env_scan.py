@@ -12,6 +12,7 @@ from palisade.schema import as_findings
 from palisade.sources.files import projects_of, select_files
 
 TEMPLATE_FILES = (".env.example", ".env.sample", ".env.template")
+VAULT_FILES = (".env.vault", ".env.keys")
 
 # order in which overlapping globs list a file the first and the last time; fixed values
 _FIRST_LISTED = {".env": 0, "env.local": 2}
@@ -168,7 +169,7 @@ def vault_files(files: DataFrame) -> DataFrame:
     """Encrypted vault (fine) and its key file (not fine) at the root of a project (JN-14)."""
     keys = F.col("path") == ".env.keys"
     return as_findings(
-        files.filter(F.col("path").isin(".env.vault", ".env.keys")).select(
+        files.filter(F.col("path").isin(*VAULT_FILES)).select(
             "project_id",
             F.when(keys, "env.vault_keys").otherwise("env.vault").alias("rule_id"),
             F.when(keys, "critical").otherwise("info").alias("severity"),

@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import each, lit_array
 from palisade.rules.datastores import AUTH_COMBOS, CRITICAL_TABLES, QUERY_CALL_PATTERNS
+from palisade.rules.profiles import PROFILES
 from palisade.schema import as_findings
-from palisade.sources.files import select_files
+from palisade.sources.files import in_profile, select_files
 
 
-def table_references(files: DataFrame) -> DataFrame:
-    """``project_id, table_name`` of every table a query call names (AG-9)."""
+def with_table_names(files: DataFrame) -> DataFrame:
+    """Files with ``table_names``: the tables that query calls name, null outside the profile."""
     names = F.flatten(F.array(*[
         F.regexp_extract_all("content", F.lit(p), F.lit(group)) for p, group in QUERY_CALL_PATTERNS]))
     kept = F.array_distinct(F.transform(
         F.filter(names, lambda n: (F.length(n) > 1) & ~n.startswith("_")), F.lower))
-    return each(select_files(files, "query_code"), kept, "table_name", "project_id").distinct()
+    return files.withColumn("table_names", F.when(in_profile(PROFILES["query_code"]), kept))
+
+
+def table_references(files: DataFrame) -> DataFrame:
+    """``project_id, table_name`` of every table a query call names (AG-9)."""
+    looked = files if "table_names" in files.columns else with_table_names(select_files(files, "query_code"))
+    return each(looked, F.col("table_names"), "table_name", "project_id").distinct()
 
 
 def tables_to_probe(projects: DataFrame, references: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -18,6 +19,7 @@ from palisade.operators.report import remediation_brief
 from palisade.operators.scoring import scorecard, union_findings
 from palisade.operators.stacks import project_stacks
 from palisade.operators.traffic import eligible_env_values, traffic_findings
+from palisade.plans.shared_scan import shared_scan
 from palisade.sources.commits import commit_lines
 from palisade.sources.files import projects_of, with_name_parts
 
@@ -37,14 +39,22 @@ class Fleet:
     def __post_init__(self):
         self.files = with_name_parts(self.files)
 
+    @cached_property
+    def scanned(self) -> DataFrame:
+        """The files after the shared scan; running it is the one job that reads all contents for the row-local scans."""
+        return shared_scan(self.files)
+
 
 def fleet_findings(fleet: Fleet, broadcast: bool | None = None) -> DataFrame:
-    """Findings of every scan whose input is present."""
-    env_vars = env_values(fleet.files)
-    stacks = project_stacks(fleet.files)
+    """Findings of every scan whose input is present.
+
+    Contents of files are read twice: once by the shared scan, which is written, and once by the search for environment values.
+    """
+    scanned = fleet.scanned
+    env_vars = env_values(scanned)
     scans = [
-        env_findings(fleet.files), vault_files(fleet.files), missing_env_template(fleet.files),
-        ignore_coverage(fleet.files), code_findings(fleet.files, stacks),
+        env_findings(scanned), vault_files(scanned), missing_env_template(scanned),
+        ignore_coverage(scanned), code_findings(scanned, project_stacks(scanned)),
         hardcoded_env_values(fleet.files, env_vars, broadcast),
     ]
     if fleet.commits is not None:
@@ -53,10 +63,10 @@ def fleet_findings(fleet: Fleet, broadcast: bool | None = None) -> DataFrame:
         scans.append(tracked_env_files(fleet.tracked))
     if fleet.responses is not None:
         scans.append(header_findings(fleet.responses))
-        stores = datastore_list(fleet.files, fleet.responses)
-        scans += [datastore_hints(stores), client_key_exposure(stores)]
+    stores = datastore_list(scanned, fleet.responses)
+    scans += [datastore_hints(stores), client_key_exposure(stores)]
     if fleet.probes is not None:
-        tables = tables_to_probe(projects_of(fleet.files), table_references(fleet.files))
+        tables = tables_to_probe(projects_of(scanned), table_references(scanned))
         scans.append(open_table_findings(credential_dedup(credential_inventory(env_vars)), tables, fleet.probes))
     if fleet.traffic is not None:
         patterns = eligible_env_values(last_env_value(env_vars))
@@ -66,10 +76,10 @@ def fleet_findings(fleet: Fleet, broadcast: bool | None = None) -> DataFrame:
 
 def fleet_report(fleet: Fleet, findings: DataFrame) -> dict[str, DataFrame]:
     """Report tables derived from (stored) findings."""
-    projects = projects_of(fleet.files)
+    projects = projects_of(fleet.scanned)
     scores = scorecard(projects, findings)
     return {
         "scorecard": scores,
-        "profile": datastore_profile(fleet.files, fleet.responses),
-        "brief": remediation_brief(findings, scores, project_stacks(fleet.files)),
+        "profile": datastore_profile(fleet.scanned, fleet.responses),
+        "brief": remediation_brief(findings, scores, project_stacks(fleet.scanned)),
     }
