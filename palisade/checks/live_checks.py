@@ -121,37 +121,39 @@ BLOCKS["named_keys"] = (("fx_files",), f"""SELECT * FROM (SELECT *, {_TECH} AS t
     WHERE value <> '' AND NOT starts_with(value, 'your_') AND value <> 'xxx') WHERE tech IS NOT NULL""")
 BLOCKS["layer_names"] = (("named_keys",), f"""SELECT project_id, arg_min(tech, (path, line)) AS type, arg_min(key, (path, line)) AS key_env_var,
     arg_min(path, (path, line)) AS key_source,
-    arg_min(substr(value, 1, 80), (path, line)) FILTER (WHERE regexp_matches(value, {lit(URL_VALUE_OF_KEY_LAYER)})) AS url,
+    arg_min(value, (path, line)) FILTER (WHERE regexp_matches(value, {lit(URL_VALUE_OF_KEY_LAYER)})) AS url,
     arg_min(value, (path, line)) FILTER (WHERE regexp_matches(value, {lit(JWT_PAYLOAD)})) AS anon_key
     FROM named_keys GROUP BY project_id""")
 BLOCKS["value_hits"] = (("fx_files",), " UNION ALL ".join(
     f"SELECT project_id, path, {i} AS pattern_no, '{t}' AS type, '{f}' AS field, regexp_extract(content, {lit(p)}, 0) AS value "
     f"FROM fx_files WHERE {profile('datastore')} AND regexp_matches(content, {lit(p)})" for i, (p, t, f) in enumerate(VALUE_PATTERNS, 1)))
 BLOCKS["layer_values"] = (("value_hits",), """SELECT project_id, arg_min(type, (path, pattern_no)) AS type,
-    substr(arg_min(value, (path, pattern_no)) FILTER (WHERE field NOT IN ('anon_key', 'firebase_api_key')), 1, 80) AS url,
+    arg_min(value, (path, pattern_no)) FILTER (WHERE field NOT IN ('anon_key', 'firebase_api_key')) AS url,
     arg_min(value, (path, pattern_no)) FILTER (WHERE field = 'anon_key') AS anon_key,
     arg_min(value, (path, pattern_no)) FILTER (WHERE field = 'firebase_api_key') AS firebase_api_key FROM value_hits GROUP BY project_id""")
 BLOCKS["stores_by_value"] = (("value_hits",), """SELECT project_id, type, 'env-value-scan' AS method, path AS url_source,
-    CASE WHEN field NOT IN ('anon_key', 'firebase_api_key') THEN substr(value, 1, 80) END AS url,
+    CASE WHEN field NOT IN ('anon_key', 'firebase_api_key') THEN value END AS url,
     CASE WHEN field = 'anon_key' THEN value END AS anon_key, CASE WHEN field = 'firebase_api_key' THEN value END AS firebase_api_key
     FROM (SELECT *, row_number() OVER (PARTITION BY project_id, type ORDER BY path, pattern_no) AS r FROM value_hits) WHERE r = 1""")
 _EX = lambda p, g=1: f"nullif(regexp_extract(content, {lit(p)}, {g}), '')"
 _KNOWN = "CASE provider " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ORM_PROVIDERS.items()) + " ELSE concat('Database (Prisma/', provider, ')') END"
-BLOCKS["layer_schema"] = (("fx_files",), f"""SELECT project_id,
+BLOCKS["schemas"] = (("fx_files",), f"""SELECT project_id,
     CASE WHEN prisma THEN {_KNOWN} WHEN {_EX(DIALECT_PATTERN)} IS NOT NULL THEN concat('Database (Drizzle/', {_EX(DIALECT_PATTERN)}, ')')
          ELSE 'Database (Drizzle ORM)' END AS type, prisma, path AS schema_file, provider,
-    CASE WHEN prisma THEN {_EX(ORM_URL_ENV_PATTERN)} END AS url_env_var, CASE WHEN prisma THEN substr({_EX(ORM_URL_PATTERN)}, 1, 80) END AS url
-    FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY NOT prisma, path) AS r FROM (
+    CASE WHEN prisma THEN {_EX(ORM_URL_ENV_PATTERN)} END AS url_env_var, CASE WHEN prisma THEN {_EX(ORM_URL_PATTERN)} END AS url
+    FROM (
             SELECT *, name = 'schema.prisma' AS prisma, CASE WHEN name = 'schema.prisma' THEN lower({_EX(ORM_PROVIDER_PATTERN)}) END AS provider
             FROM fx_files WHERE {profile('schema')})
-          WHERE CASE WHEN prisma THEN provider IS NOT NULL ELSE contains(lower(content), 'drizzle') OR contains(lower(content), 'dialect') END) WHERE r = 1""")
+    WHERE CASE WHEN prisma THEN provider IS NOT NULL ELSE contains(lower(content), 'drizzle') OR contains(lower(content), 'dialect') END""")
+BLOCKS["layer_schema"] = (("schemas",), """SELECT * EXCLUDE (r) FROM (
+    SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY NOT prisma, schema_file) AS r FROM schemas) WHERE r = 1""")
 _B = lambda i: f"nullif(regexp_extract(body, {lit(BODY_TYPE_PATTERNS[i][0])}, 0), '')"
 _HAS = lambda h: f"EXISTS (SELECT 1 FROM header_rows AS h WHERE h.project_id = r.project_id AND h.url = r.page_url AND h.name = '{h}')"
 BLOCKS["stores_by_response"] = (("header_rows",), f"""SELECT * FROM (SELECT project_id, page_url,
     CASE {' '.join(f"WHEN n = {i} THEN '{t}'" for i, (_, t) in enumerate(BODY_TYPE_PATTERNS))}
          {' '.join(f"WHEN {_HAS(h)} THEN '{t}'" for h, t in HEADER_TYPES)} END AS type,
     CASE {' '.join(f"WHEN n = {i} THEN {_B(i)}" for i in (0, 2, 4, 5, 6, 7, 8))} END AS url,
-    {_B(1)} AS anon_key, {_B(3)} AS firebase_api_key, CASE WHEN n = 9 THEN concat(substr({_B(9)}, 1, 60), '...') END AS mongodb_url,
+    {_B(1)} AS anon_key, {_B(3)} AS firebase_api_key, CASE WHEN n = 9 THEN {_B(9)} END AS mongodb_url,
     CASE {' '.join(f"WHEN {_HAS(h)} THEN '{h}'" for h, _ in reversed(HEADER_TYPES))} END AS header_detected
     FROM (SELECT project_id, url AS page_url, body,
             CASE {' '.join(f"WHEN regexp_matches(body, {lit(p)}) THEN {i}" for i, (p, _) in enumerate(BODY_TYPE_PATTERNS))} END AS n FROM fx_responses) AS r)
@@ -164,14 +166,14 @@ BLOCKS["layer_extracted"] = (("credentials",), f"""SELECT project_id, max(anon_k
     SELECT project_id, {_FIRST('token', "role IN ('anon', 'unknown')")} AS anon_key, {_FIRST('var', "role IN ('anon', 'unknown')")} AS anon_key_var,
       {_FIRST('token', "role = 'service_role'")} AS service_role_key, {_FIRST('var', "role = 'service_role'")} AS service_role_var,
       NULL AS url, NULL AS url_var FROM credentials GROUP BY project_id
-    UNION ALL SELECT project_id, NULL, NULL, NULL, NULL, arg_min(substr(value, 1, 120), (first_rank, source, line)), arg_min(key, (first_rank, source, line))
+    UNION ALL SELECT project_id, NULL, NULL, NULL, NULL, arg_min(value, (first_rank, source, line)), arg_min(key, (first_rank, source, line))
       FROM env_vars WHERE regexp_matches(value, {lit(URL_VALUE)}) GROUP BY project_id) GROUP BY project_id""")
-BLOCKS["stores"] = (("stores_by_value", "layer_schema", "layer_response"), """SELECT * EXCLUDE (r, rank) FROM (
-    SELECT *, row_number() OVER (PARTITION BY project_id, type ORDER BY rank) AS r FROM (
+BLOCKS["stores"] = (("stores_by_value", "schemas", "stores_by_response"), """SELECT * EXCLUDE (r, rank, place) FROM (
+    SELECT *, row_number() OVER (PARTITION BY project_id, type ORDER BY rank, place) AS r FROM (
       SELECT project_id, type, 'header-first' AS method, url, anon_key, firebase_api_key, NULL AS schema_file, NULL AS prisma, NULL AS provider,
-             NULL AS url_env_var, 0 AS rank FROM layer_response
-      UNION ALL SELECT project_id, type, 'prisma-schema', url, NULL, NULL, schema_file, prisma, provider, url_env_var, 1 FROM layer_schema
-      UNION ALL SELECT project_id, type, 'env-value-scan', url, anon_key, firebase_api_key, NULL, NULL, NULL, NULL, 2 FROM stores_by_value)) WHERE r = 1""")
+             NULL AS url_env_var, 0 AS rank, page_url AS place FROM stores_by_response
+      UNION ALL SELECT project_id, type, 'prisma-schema', url, NULL, NULL, schema_file, prisma, provider, url_env_var, 1, schema_file FROM schemas
+      UNION ALL SELECT project_id, type, 'env-value-scan', url, anon_key, firebase_api_key, NULL, NULL, NULL, NULL, 2, url_source FROM stores_by_value)) WHERE r = 1""")
 
 
 @check("jn6_datastore_by_key_name", with_("layer_names", select="SELECT * FROM layer_names"))
@@ -220,15 +222,21 @@ _URL = "coalesce(r_url, CASE WHEN NOT answered THEN s_url END, CASE WHEN NOT dec
 _KEY = "coalesce(r_key, CASE WHEN NOT declared THEN n_key END, v_key)"
 
 
-@check("ag5_datastore_profile", with_("layer_response", "layer_schema", "layer_names", "layer_values", "layer_extracted", ("p", _P), select=f"""
-    SELECT project_id, coalesce(r_type, s_type, n_type, v_type, CASE WHEN x_key IS NOT NULL OR x_url IS NOT NULL THEN 'Supabase' END) AS type,
+_MASKED = lambda c: f"substr({c}, 1, 8) || '***'"
+_BARE = lambda c: f"regexp_replace({c}, '://[^/@\\s]*@', '://***@')"
+PROFILE_BLOCKS = ("layer_response", "layer_schema", "layer_names", "layer_values", "layer_extracted", ("p", _P))
+PROFILE_SQL = f"""    SELECT project_id, coalesce(r_type, s_type, n_type, v_type, CASE WHEN x_key IS NOT NULL OR x_url IS NOT NULL THEN 'Supabase' END) AS type,
       CASE WHEN r_type IS NOT NULL THEN 'header-first' WHEN s_type IS NOT NULL THEN 'prisma-schema' WHEN n_type IS NOT NULL THEN 'env-key-name'
            WHEN v_type IS NOT NULL THEN 'env-value-scan' END AS method,
-      coalesce({_URL}, x_url) AS url, CASE WHEN {_URL} IS NULL THEN url_var END AS url_var,
-      coalesce({_KEY}, x_key) AS anon_key, CASE WHEN {_KEY} IS NULL THEN anon_key_var END AS anon_key_var,
-      service_role_key, service_role_var, firebase_api_key, mongodb_url, header_detected,
+      {_BARE(f'coalesce({_URL}, x_url)')} AS url, CASE WHEN {_URL} IS NULL THEN url_var END AS url_var,
+      {_MASKED(f'coalesce({_KEY}, x_key)')} AS anon_key, sha256(coalesce({_KEY}, x_key)) AS anon_key_hash, CASE WHEN {_KEY} IS NULL THEN anon_key_var END AS anon_key_var,
+      {_MASKED('service_role_key')} AS service_role_key, sha256(service_role_key) AS service_role_key_hash, service_role_var,
+      {_MASKED('firebase_api_key')} AS firebase_api_key, sha256(firebase_api_key) AS firebase_api_key_hash, {_BARE('mongodb_url')} AS mongodb_url, header_detected,
       CASE WHEN NOT declared THEN key_env_var END AS key_env_var, CASE WHEN NOT declared THEN key_source END AS key_source,
-      prisma, schema_file, provider, CASE WHEN NOT answered THEN url_env_var END AS url_env_var FROM p"""))
+      prisma, schema_file, provider, CASE WHEN NOT answered THEN url_env_var END AS url_env_var FROM p"""
+
+
+@check("ag5_datastore_profile", with_(*PROFILE_BLOCKS, select=PROFILE_SQL))
 def _(inp):
     return ds.datastore_profile(inp.files, inp.responses)
 

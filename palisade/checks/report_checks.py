@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.checks.fixtures import scratch, values_sql
-from palisade.checks.live_checks import _ALL_HTTP, EXPOSED_SQL, HINTS_SQL, open_sql
+from palisade.checks.live_checks import _ALL_HTTP, EXPOSED_SQL, HINTS_SQL, PROFILE_BLOCKS, PROFILE_SQL, open_sql
 from palisade.checks.registry import check
 from palisade.checks.traffic_checks import DEDUP_SQL
 from palisade.checks.sql import BLOCKS, first_rule, lines_of, lit, match, rules_table, strip, with_
@@ -23,7 +23,7 @@ from palisade.rules.guidance import (
 )
 from palisade.rules.secrets import ENV_FORMATS, TRAFFIC_SECRETS
 from palisade.sources.files import projects_of
-from palisade.sources.sinks import write_findings, write_report
+from palisade.sources.sinks import read_findings, write_findings, write_report
 
 # ------------------------------------------------------------------ secrets in free text
 
@@ -91,15 +91,18 @@ _PARTS = {
 }
 
 
-def _part(sql: str, have: set[str], rule: str) -> str:
+_SCANNERS = {"vault": "env", "template": "env", "ignore": "repo", "tracked": "repo", "commit": "history", "hints": "datastore", "keys": "datastore"}
+
+
+def _part(scan: str, sql: str, have: set[str], rule: str) -> str:
     always = {"project_id", "severity", "description", "detail"}
     cols = ", ".join(c if c in have | always else f"{rule} AS rule_id" if c == "rule_id"
                      else f"CAST(NULL AS {'INTEGER' if c == 'line' else 'VARCHAR'}) AS {c}" for c in _COLUMNS)
-    return f"SELECT {cols} FROM ({sql})"
+    return f"SELECT {cols}, '{_SCANNERS.get(scan, scan)}' AS scanner FROM ({sql})"
 
 
 FINDINGS = ["scan_lines", *IGNORE_BLOCKS, "last_values", LITERAL_LINES, TRACKED, "heads", "projects", CODE_LINES, DEPS, STACKS, *COMMIT_BLOCKS, "stores", "open_cells",
-            "exposures", ("findings", " UNION ALL ".join(_part(*part) for part in _PARTS.values()))]
+            "exposures", ("findings", " UNION ALL ".join(_part(scan, *part) for scan, part in _PARTS.items()))]
 
 
 def fleet_of(inp) -> Fleet:
@@ -133,8 +136,7 @@ def _(inp):
     return scoring.severity_counts(findings_of(inp))
 
 
-@check("ag1_severity_counts_by_scanner", with_(*FINDINGS, select=f"""SELECT CASE WHEN starts_with(rule_id, 'env') THEN 'env'
-    ELSE string_split(rule_id, '.')[1] END AS scanner, {_COUNTS} FROM findings GROUP BY 1"""))
+@check("ag1_severity_counts_by_scanner", with_(*FINDINGS, select=f"SELECT scanner, {_COUNTS} FROM findings GROUP BY scanner"))
 def _(inp):
     return scoring.severity_counts(findings_of(inp), ("scanner",))
 
@@ -170,8 +172,9 @@ def _(inp):
 
 _FILE = "concat(nullif(file, ''), CASE WHEN line > 0 THEN concat(':', line) ELSE '' END)"
 _FILE = f"CASE WHEN file <> '' THEN {_FILE} END"
-_LOCATION = (f"concat_ws(' · ', {_FILE}, CASE WHEN header <> '' THEN concat('header: ', header) END, env_var, "
-             f"CASE WHEN env_source IS NOT NULL AND NOT coalesce(list_contains([{_FILE}, concat('header: ', header), env_var], env_source), false) THEN env_source END, source)")
+_TABLE = "CASE WHEN table_name <> '' THEN concat('tabel: ', table_name) END"
+_LOCATION = (f"concat_ws(' · ', {_FILE}, {_TABLE}, CASE WHEN header <> '' THEN concat('header: ', header) END, env_var, "
+             f"CASE WHEN env_source IS NOT NULL AND NOT coalesce(list_contains([{_FILE}, {_TABLE}, concat('header: ', header), env_var], env_source), false) THEN env_source END, source)")
 
 
 @check("pf9_finding_location", with_(*FINDINGS, select=f"SELECT project_id, rule_id, description, {_LOCATION} AS location FROM findings"))
@@ -203,28 +206,40 @@ def _(inp):
 
 
 _NL = "chr(10)"
-_PLACE = f"coalesce({_FILE}, CASE WHEN header <> '' THEN concat('header: ', header) END, '')"
+_PLACE = f"coalesce({_FILE}, {_TABLE}, CASE WHEN header <> '' THEN concat('header: ', header) END, '')"
 _ENTRY = (f"concat('### ', description, {_NL}, CASE WHEN {_PLACE} <> '' THEN concat('- Placering: ', {_PLACE}, {_NL}) ELSE '' END, "
           f"CASE WHEN detail <> '' THEN concat('- Detalje: ', substr(detail, 1, 200), CASE WHEN length(detail) > 200 THEN '...' ELSE '' END, {_NL}) ELSE '' END, "
           f"CASE WHEN explanation <> '' THEN concat('- Problem: ', explanation, {_NL}) ELSE '' END, "
           f"CASE WHEN remedy <> '' THEN concat('- Fix:', {_NL}, remedy, {_NL}) ELSE '' END)")
 _RANK = "CASE severity WHEN 'critical' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END"
 _TITLE = "CASE severity " + " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in SECTION_TITLES.items()) + " END"
-BRIEF_SQL = f"""SELECT s.project_id, 1 AS part, 1 AS parts, concat('# Sikkerhedsanalyse - ', s.project_id, {_NL}, 'Score: ', s.score, '/100 - ', {_VERDICT}, {_NL},
-      'Stack: ', coalesce(k.stack, 'Ikke detekteret'), {_NL}, {_NL}, CASE WHEN b.body IS NULL THEN '' ELSE concat(b.body, {_NL}) END,
-      '---', {_NL}, 'Opgave: Gennemgå problemerne og hjælp med:', {_NL}, '1. Forklaring af hvert problem med konkrete kodeeksempler', {_NL},
-      '2. Konkrete rettelser med kode', {_NL}, '3. Prioriteret rækkefølge', {_NL}, '4. Yderligere anbefalinger til stakken (', coalesce(k.stack, 'Ikke detekteret'), ')') AS text
-    FROM ({_SCORES}) AS s LEFT JOIN (SELECT project_id, string_agg(stack, ', ' ORDER BY stack) AS stack FROM stacks GROUP BY project_id) AS k ON k.project_id = s.project_id
-    LEFT JOIN (SELECT project_id, string_agg(section, {_NL} ORDER BY rank) AS body FROM (
-        SELECT project_id, {_RANK} AS rank, concat('## ', {_TITLE}, ' (', count(*), '):', {_NL},
-            string_agg({_ENTRY}, {_NL} ORDER BY coalesce(file, ''), coalesce(line, 0), description, {_ENTRY})) AS section
-        FROM guided GROUP BY project_id, severity) GROUP BY project_id) AS b ON b.project_id = s.project_id"""
-
-
-@check("ag12_remediation_brief", with_(*FINDINGS, GUIDED, DEPS, STACKS, select=BRIEF_SQL))
+_HEADED = "concat('# Sikkerhedsanalyse - ', s.project_id, {0}, 'Score: ', s.score, '/100 - ', verdict, {0}, 'Stack: ', stack, {0})".format(_NL)
+_LAST = "concat({0})".format(f", {_NL}, ".join((
+    "'---'", "'Opgave: Gennemgå problemerne og hjælp med:'", "'1. Forklaring af hvert problem med konkrete kodeeksempler'", "'2. Konkrete rettelser med kode'",
+    "'3. Prioriteret rækkefølge'", "concat('4. Yderligere anbefalinger til stakken (', stack, ')')")))
+BRIEF = [*FINDINGS, GUIDED, ("scored", f"""SELECT s.*, {_VERDICT} AS verdict, coalesce(k.stack, 'Ikke detekteret') AS stack FROM ({_SCORES}) AS s
+    LEFT JOIN (SELECT project_id, string_agg(stack, ', ' ORDER BY stack) AS stack FROM stacks GROUP BY project_id) AS k ON k.project_id = s.project_id"""),
+    ("brief", f"""SELECT row_number() OVER (ORDER BY project_id, section, entry, file, line, description, text) - 1 AS position, project_id, text FROM (
+        SELECT project_id, 0 AS section, 0 AS entry, '' AS file, 0 AS line, '' AS description, {_HEADED} AS text FROM scored AS s
+        UNION ALL SELECT project_id, {_RANK}, 0, '', 0, '', concat('## ', {_TITLE}, ' (', count(*), '):') FROM guided GROUP BY project_id, severity
+        UNION ALL SELECT project_id, {_RANK}, 1, coalesce(file, ''), coalesce(line, 0), description, {_ENTRY} FROM guided
+        UNION ALL SELECT project_id, 9, 0, '', 0, '', {_LAST} FROM scored AS s)""")]
+
+
+def brief_of(inp) -> DataFrame:
+    findings = findings_of(inp)
+    return report.remediation_brief(findings, scoring.scorecard(projects_of(inp.files), findings), stacks.project_stacks(inp.files))
+
+
+@check("ag12_remediation_brief", with_(*BRIEF, select="SELECT * FROM brief"))
+def _(inp):
+    return brief_of(inp)
+
+
+@check("ag12_brief_as_text", with_(*BRIEF, select=f"SELECT project_id, md5(string_agg(text, {_NL} ORDER BY position)) AS text_md5 FROM brief GROUP BY project_id"))
 def _(inp):
-    files, findings = inp.files, findings_of(inp)
-    return report.remediation_brief(findings, scoring.scorecard(projects_of(files), findings), stacks.project_stacks(files))
+    rows = brief_of(inp).groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("r"))
+    return rows.select("project_id", F.md5(F.array_join("r.text", "\n")).alias("text_md5"))
 
 
 # ------------------------------------------------------------------ sinks
@@ -232,18 +247,23 @@ def _(inp):
 
 @check("snk1_findings_sink", with_(*FINDINGS, select="SELECT severity, project_id, rule_id, description, file, line FROM findings"))
 def _(inp):
-    folder = f"{scratch(inp.spark)}/findings"
-    write_findings(findings_of(inp), folder)
-    return inp.spark.read.parquet(folder).select("severity", "project_id", "rule_id", "description", "file", "line")
+    folder, projects = f"{scratch(inp.spark)}/findings", projects_of(inp.files)
+    # an older run had every finding twice over, and as critical; nothing of it may be left
+    old = findings_of(inp).withColumn("severity", F.lit("critical"))
+    write_findings(old.unionByName(old), projects, folder)
+    write_findings(findings_of(inp), projects, folder)
+    return read_findings(inp.spark, folder).select("severity", "project_id", "rule_id", "description", "file", "line")
 
 
-@check("snk2_report_tables", with_(*FINDINGS, select=f"""SELECT 'scorecard' AS report, project_id, CAST(score AS VARCHAR) AS value FROM ({_SCORES})
-    UNION ALL SELECT 'gate', project_id, CASE WHEN bool_or(severity = 'critical') THEN 'true' ELSE 'false' END FROM findings GROUP BY project_id"""))
+@check("snk2_report_tables", with_(*BRIEF, *PROFILE_BLOCKS, select=f"""SELECT 'scorecard' AS report, project_id, concat_ws('/', score, critical, warning, info, verdict) AS value FROM scored
+    UNION ALL SELECT 'profile', project_id, concat_ws('/', type, method, url, schema_file) FROM ({PROFILE_SQL})
+    UNION ALL SELECT 'brief', project_id, concat_ws('/', position, md5(text)) FROM brief"""))
 def _(inp):
-    folder, findings = f"{scratch(inp.spark)}/report", findings_of(inp)
-    write_report({"scorecard": scoring.scorecard(projects_of(inp.files), findings), "gate": scoring.gate(findings)}, folder)
-    read = lambda n, c: inp.spark.read.parquet(f"{folder}/{n}").select(F.lit(n).alias("report"), "project_id", F.col(c).cast("string").alias("value"))
-    return read("scorecard", "score").unionByName(read("gate", "failed"))
+    folder = f"{scratch(inp.spark)}/report"
+    write_report(fleet_report(fleet_of(inp), findings_of(inp)), folder)
+    read = lambda n, *values: inp.spark.read.parquet(f"{folder}/{n}").select(F.lit(n).alias("report"), "project_id", F.concat_ws("/", *values).alias("value"))
+    return (read("scorecard", "score", "critical", "warning", "info", "verdict").unionByName(read("profile", "type", "method", "url", "schema_file"))
+            .unionByName(read("brief", F.col("position").cast("string"), F.md5("text"))))
 
 
 # ------------------------------------------------------------------ the flagship

@@ -51,7 +51,7 @@ def credential_summary(env_vars: DataFrame) -> DataFrame:
         "project_id", *_FIRST, F.col("var").alias("key"), F.col("token").alias("value"), "role",
         F.lit(False).alias("is_url"))
     urls = env_vars.filter(F.col("value").rlike(URL_VALUE)).select(
-        "project_id", *_FIRST, "key", F.substring("value", 1, 120).alias("value"),
+        "project_id", *_FIRST, "key", "value",
         F.lit(None).cast("string").alias("role"), F.lit(True).alias("is_url"))
 
     def first(test: Column) -> Column:

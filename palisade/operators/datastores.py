@@ -50,7 +50,7 @@ def datastore_by_key_name(files: DataFrame) -> DataFrame:
     return (
         named.groupBy("project_id").agg(
             F.min_by(F.struct("tech", "key", "path"), order).alias("t"),
-            first(is_url, F.substring("value", 1, 80)).alias("url"),
+            first(is_url, F.col("value")).alias("url"),
             first(F.col("value").rlike(JWT_PAYLOAD), F.col("value")).alias("anon_key"))
         .select("project_id", F.col("t.tech").alias("type"), F.col("t.key").alias("key_env_var"),
                 F.col("t.path").alias("key_source"), "url", "anon_key")
@@ -88,7 +88,7 @@ def datastore_by_value(files: DataFrame) -> DataFrame:
     """Every technology whose connection format occurs, with its first file (JN-7, WD-9)."""
     return first_per_technology(value_hits(files).select(
         "project_id", "type", F.lit("env-value-scan").alias("method"), F.col("path").alias("url_source"),
-        F.when(~F.col("field").isin("anon_key", "firebase_api_key"), F.substring("value", 1, 80)).alias("url"),
+        F.when(~F.col("field").isin("anon_key", "firebase_api_key"), F.col("value")).alias("url"),
         F.when(F.col("field") == "anon_key", F.col("value")).alias("anon_key"),
         F.when(F.col("field") == "firebase_api_key", F.col("value")).alias("firebase_api_key"),
         F.struct("path", "pattern_no").alias("_order")))
@@ -112,13 +112,13 @@ def value_layer(files: DataFrame) -> DataFrame:
     keys = F.col("field").isin("anon_key", "firebase_api_key")
     return hits.groupBy("project_id").agg(
         F.min_by("type", order).alias("type"),
-        F.substring(first(~keys), 1, 80).alias("url"),
+        first(~keys).alias("url"),
         first(F.col("field") == "anon_key").alias("anon_key"),
         first(F.col("field") == "firebase_api_key").alias("firebase_api_key"))
 
 
-def datastore_by_schema(files: DataFrame) -> DataFrame:
-    """Technology declared by an ORM schema, else by its configuration, one row per project (JN-8)."""
+def schema_hits(files: DataFrame) -> DataFrame:
+    """Technology declared by every ORM schema and configuration, one row per file."""
     text = F.col("content")
     provider = F.lower(_found(text, ORM_PROVIDER_PATTERN, 1))
     known = F.coalesce(*[F.when(F.col("provider") == p, F.lit(t)) for p, t in ORM_PROVIDERS.items()],
@@ -128,14 +128,21 @@ def datastore_by_schema(files: DataFrame) -> DataFrame:
     chosen = select_files(files, "schema").withColumn("provider", F.when(is_schema, provider))
     usable = F.when(is_schema, F.col("provider").isNotNull()).otherwise(
         F.lower(text).contains("drizzle") | F.lower(text).contains("dialect"))
-    row = F.struct(
+    return chosen.filter(usable).select(
+        "project_id",
         F.when(is_schema, known).when(dialect.isNotNull(), F.concat(F.lit("Database (Drizzle/"), dialect, F.lit(")")))
         .otherwise("Database (Drizzle ORM)").alias("type"),
         is_schema.alias("prisma"), F.col("path").alias("schema_file"), F.col("provider").alias("provider"),
         F.when(is_schema, _found(text, ORM_URL_ENV_PATTERN, 1)).alias("url_env_var"),
-        F.when(is_schema, F.substring(_found(text, ORM_URL_PATTERN, 1), 1, 80)).alias("url"))
-    return (chosen.filter(usable).groupBy("project_id")
-            .agg(F.min_by(row, F.struct(~is_schema, F.col("path"))).alias("r")).select("project_id", "r.*"))
+        F.when(is_schema, _found(text, ORM_URL_PATTERN, 1)).alias("url"))
+
+
+def datastore_by_schema(files: DataFrame) -> DataFrame:
+    """Technology declared by an ORM schema, else by its configuration: the first file stands for the project (JN-8)."""
+    hits = schema_hits(files)
+    rest = [c for c in hits.columns if c != "project_id"]
+    return (hits.groupBy("project_id").agg(F.min_by(F.struct(*rest), F.struct(~F.col("prisma"), F.col("schema_file"))).alias("r"))
+            .select("project_id", "r.*"))
 
 
 def datastore_by_response(responses: DataFrame) -> DataFrame:
@@ -157,8 +164,7 @@ def datastore_by_response(responses: DataFrame) -> DataFrame:
         .select("project_id", F.col("url").alias("page_url"), "type", url.alias("url"),
                 _found(body, BODY_TYPE_PATTERNS[key][0]).alias("anon_key"),
                 _found(body, BODY_TYPE_PATTERNS[fb_key][0]).alias("firebase_api_key"),
-                F.when(F.col("_n") == mongo, F.concat(F.substring(_found(body, BODY_TYPE_PATTERNS[mongo][0]), 1, 60),
-                                                      F.lit("..."))).alias("mongodb_url"),
+                F.when(F.col("_n") == mongo, _found(body, BODY_TYPE_PATTERNS[mongo][0])).alias("mongodb_url"),
                 last_header.alias("header_detected"))
     )
 
@@ -185,12 +191,22 @@ def _layer(rows: DataFrame, name: str) -> DataFrame:
         (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in _COLUMNS.items()]).alias("r"))
 
 
+def masked_key(key: Column, name: str) -> list[Column]:
+    """The first characters of a key, and a hash that tells keys apart."""
+    return [F.concat(F.substring(key, 1, 8), F.lit("***")).alias(name), F.sha2(key, 256).alias(f"{name}_hash")]
+
+
+def masked_url(url: Column) -> Column:
+    """A whole URL without the user and password in it."""
+    return F.regexp_replace(url, r"://[^/@\s]*@", "://***@")
+
+
 def datastore_profile(files: DataFrame, responses: DataFrame | None = None, env_vars: DataFrame | None = None,
                       guess_hosted: bool = True) -> DataFrame:
     """One row per project from all layers: response, schema, key names, values, extraction (AG-5).
 
     Earlier layers win and later ones fill what is empty; the key-name layer counts only where no earlier
-    layer named a type.  With ``guess_hosted`` a project of which only a key or a URL is known is taken to
+    layer named a type.  Keys are shown by their first characters and told apart by a hash; URLs lose their user and password.  With ``guess_hosted`` a project of which only a key or a URL is known is taken to
     use the hosted database.
     """
     env_vars = env_values(files) if env_vars is None else env_vars
@@ -218,14 +234,14 @@ def datastore_profile(files: DataFrame, responses: DataFrame | None = None, env_
         "project_id",
         F.coalesce(*kinds).alias("type"),
         F.coalesce(*[F.when(F.col(f"{n}.type").isNotNull(), F.lit(m)) for n, m in methods.items()]).alias("method"),
-        F.coalesce(known_url, F.col("extracted.url")).alias("url"),
+        masked_url(F.coalesce(known_url, F.col("extracted.url"))).alias("url"),
         F.when(known_url.isNull(), F.col("extracted.url_var")).alias("url_var"),
-        F.coalesce(known_key, F.col("extracted.anon_key")).alias("anon_key"),
+        *masked_key(F.coalesce(known_key, F.col("extracted.anon_key")), "anon_key"),
         F.when(known_key.isNull(), F.col("extracted.anon_key_var")).alias("anon_key_var"),
-        F.col("extracted.service_role_key").alias("service_role_key"),
+        *masked_key(F.col("extracted.service_role_key"), "service_role_key"),
         F.col("extracted.service_role_var").alias("service_role_var"),
-        F.coalesce("response.firebase_api_key", "values.firebase_api_key").alias("firebase_api_key"),
-        F.col("response.mongodb_url").alias("mongodb_url"),
+        *masked_key(F.coalesce("response.firebase_api_key", "values.firebase_api_key"), "firebase_api_key"),
+        masked_url(F.col("response.mongodb_url")).alias("mongodb_url"),
         F.col("response.header_detected").alias("header_detected"),
         by_name("key_env_var").alias("key_env_var"), by_name("key_source").alias("key_source"),
         F.col("schema.prisma").alias("prisma"), F.col("schema.schema_file").alias("schema_file"),
@@ -234,20 +250,24 @@ def datastore_profile(files: DataFrame, responses: DataFrame | None = None, env_
 
 
 def datastore_list(files: DataFrame, responses: DataFrame | None = None) -> DataFrame:
-    """Every technology of a project: response, schema, then values (AG-6)."""
+    """Every technology of a project, from all its responses, schemas and files (AG-6).
+
+    Per technology the first layer wins, and in it the first place; responses are not needed. The layers are added up in one aggregation by
+    project and technology, combined before the shuffle.
+    """
     kept = ("url", "anon_key", "firebase_api_key", "schema_file", "prisma", "provider", "url_env_var")
 
-    def part(rows: DataFrame, rank: int, method: str) -> DataFrame:
+    def part(rows: DataFrame, rank: int, method: str, place: str) -> DataFrame:
         have = set(rows.columns)
         return rows.select(
             "project_id", "type", F.lit(method).alias("method"),
             *[(F.col(c) if c in have else F.lit(None)).cast(_COLUMNS[c]).alias(c) for c in kept],
-            F.lit(rank).alias("_order"))
+            F.struct(F.lit(rank).alias("rank"), F.col(place).alias("place")).alias("_order"))
 
-    rows = (part(datastore_by_schema(files), 1, "prisma-schema")
-            .unionByName(part(datastore_by_value(files), 2, "env-value-scan")))
+    rows = (part(schema_hits(files), 1, "prisma-schema", "schema_file")
+            .unionByName(part(datastore_by_value(files), 2, "env-value-scan", "url_source")))
     if responses is not None:
-        rows = rows.unionByName(part(response_layer(responses), 0, "header-first"))
+        rows = rows.unionByName(part(datastore_by_response(responses), 0, "header-first", "page_url"))
     return first_per_technology(rows)
 
 

@@ -18,6 +18,7 @@ from palisade.schema import FINDINGS, as_findings
 from palisade.sources.captures import parse_header_block
 from palisade.sources.commits import recent_commits
 from palisade.sources.files import read_file_tree, select_files
+from palisade.sources.sinks import findings_batch_writer, read_findings, write_findings
 
 SF = "/root/testdata/sf0.001"
 
@@ -195,16 +196,47 @@ def test_scores(spark):
     assert scoring.risk_score(projects, findings(spark, 60)).agg(F.min("score")).first()[0] == 0
 
 
-def test_a_large_brief_is_split_and_keeps_every_finding(spark):
-    found = findings(spark, 500)
-    projects = spark.createDataFrame([("p",), ("clean",)], "project_id string")
-    scores = scoring.scorecard(projects, found)
+def test_a_large_brief_keeps_its_order(spark):
+    """Severities in order, every finding once, whole positions, however the ranges fall; a project without findings has head and tail."""
+    kinds = ("info", "critical", "warning")
+    rows = [("p", "x", f"r{i}", kinds[i % 3], f"secret {i:04d}", "", f"f{i % 7}.js", i) for i in range(3000)] + [("q", "x", "r", "info", "one", "", None, None)]
+    found = as_findings(spark.createDataFrame(rows, "project_id string, scanner string, rule_id string, severity string, description string, detail string, file string, line int"))
+    projects = spark.createDataFrame([("p",), ("q",), ("clean",)], "project_id string")
     stacks = spark.createDataFrame([("p", "React")], "project_id string, stack string")
-    rows = report.remediation_brief(found, scores, stacks, part_size=50).filter("project_id = 'p'").collect()
-    assert len(rows) == 10 and sorted(r.part for r in rows) == list(range(1, 11))
-    titles = [line for r in rows for line in r.text.split("\n") if line.startswith("### ")]
-    assert sorted(titles) == sorted(f"### secret {i}" for i in range(500))
-    assert report.remediation_brief(found, scores, stacks).count() == 2
+    brief = sorted(report.remediation_brief(found.repartition(5), scoring.scorecard(projects, found), stacks).collect())
+    assert [r.position for r in brief] == list(range(len(brief))) and [r.project_id for r in brief] == sorted(r.project_id for r in brief)
+    text = [line for r in brief if r.project_id == "p" for line in r.text.split("\n") if line.startswith(("## ", "### "))]
+    wanted = []
+    for kind in ("critical", "warning", "info"):
+        own = sorted((r[6], r[7], r[4]) for r in rows if r[0] == "p" and r[3] == kind)
+        wanted += [f"## {report.SECTION_TITLES[kind]} (1000):", *(f"### {d}" for *_, d in own)]
+    assert text == wanted
+    assert sum(r.project_id == "clean" for r in brief) == 2
+
+
+def test_a_project_that_lost_its_findings_has_none(spark, tmp_path):
+    """A later run replaces all severities of its projects and leaves other projects alone; a run written twice counts once."""
+    path, projects = str(tmp_path / "store"), lambda *names: spark.createDataFrame([(n,) for n in names], "project_id string")
+    row = lambda project, severity: (project, "x", "r", severity, "d")
+    table = lambda *rows: as_findings(spark.createDataFrame(list(rows), "project_id string, scanner string, rule_id string, severity string, description string"))
+    write_findings(table(row("p", "critical"), row("p", "info"), row("q", "critical")), projects("p", "q"), path)
+    run = write_findings(table(row("p", "info")), projects("p"), path)
+    write_findings(table(row("p", "info")), projects("p"), path, run=run)
+    read = lambda: sorted((r.project_id, r.severity) for r in read_findings(spark, path).collect())
+    assert read() == [("p", "info"), ("q", "critical")]
+    assert scoring.gate(read_findings(spark, path)).where("failed").count() == 1
+    # a run that died before it named its projects is not seen
+    table(row("q", "info")).write.partitionBy("severity").parquet(f"{path}/findings/run=r99999999999999999999")
+    assert read() == [("p", "info"), ("q", "critical")]
+    write_findings(table(row("p", "info")).limit(0), projects("p"), path)
+    assert read() == [("q", "critical")]
+
+
+def test_replayed_batches_replace_themselves(spark, tmp_path):
+    write = findings_batch_writer(str(tmp_path / "stream"))
+    for number, n in ((0, 3), (1, 2), (1, 2), (2, 5)):
+        write(findings(spark, n), number)
+    assert spark.read.parquet(str(tmp_path / "stream")).count() == 10
 
 
 def test_unguided_findings_have_empty_guidance(spark):
@@ -218,6 +250,8 @@ def test_whole_fleet(spark):
     found = fleet_findings(fleet)
     assert [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in FINDINGS]
     plan = plan_of(found)
+    # after the shared scan only the search for environment values reads contents of the files, once
+    assert sum("FileScan" in line and "fx_files" in line and "content" in line for line in plan.split("\n")) <= 1
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "ArrowEval" not in plan and "BatchEvalPython" not in plan and "MapInPandas" not in plan
     counts = {r.scanner: r["count"] for r in found.groupBy("scanner").count().collect()}
