@@ -7,10 +7,10 @@ in all wins. Close decisions are marked as rejected.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from typing import NamedTuple
 
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +28,12 @@ class LanguageModel(NamedTuple):
     min_margin: float = 0.01
 
 
+#: what is no letter: other than word characters, digits, and the numbers and marks that word characters include
+_NO_LETTERS = regex.compile(r"[^\p{L}]+")
+
+
 def letters_of(text: str) -> bytes:
-    return re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+    return _NO_LETTERS.sub(" ", text.lower()).encode()
 
 
 def fit_languages(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",

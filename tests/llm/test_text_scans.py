@@ -209,3 +209,8 @@ def test_scans_hard_cases(spark, scan):
     assert len(rows) == 13 and scan(no_documents(spark)).count() == 0
     same = [r for r in rows if r["doc_id"] == 1]
     assert same[0] == same[1]
+
+
+def test_numbers_and_marks_are_no_letters():
+    from palisade.llm import language_id
+    assert language_id.letters_of("½ ²³ ① 12_٣ …").strip() == b"" and language_id.letters_of("Ça va ½ 中").split() == ["ça".encode(), b"va", "中".encode()]
