@@ -310,3 +310,12 @@ def test_pipeline_hard_cases_and_run(spark):
     assert sorted(r["doc_id"] for r in near if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 7, 8, 9] and len(near) == 10
     done = corpus_pipeline.run(spark, SF)
     assert done.where("round_trip").count() == done.count() > 100
+
+
+def test_ids_with_several_texts_are_linked_through_them(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "tu")
+    cases = [([(5, t), (5, u), (6, t + " more"), (7, u + " more")], {5: 5, 6: 5, 7: 5}), ([(1, t), (5, t + " more"), (5, u)], {1: 1, 5: 1}),
+             ([(3, t), (3, u), (4, u), (8, "alone " + t[::-1])], {3: 3, 4: 3, 8: 8})]
+    for rows, want in cases:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert {r["doc_id"]: r["component_id"] for r in shingle_join.shingle_components(df).collect()} == want
