@@ -372,9 +372,13 @@ class Inputs:
         at = F.timestamp_seconds(F.lit(1704067200) + F.col("at_second"))
         return self._derived("fx_commits").withColumn("committed_at", at).drop("at_second")
 
+    @property
+    def raw_responses(self) -> DataFrame:
+        return self._derived("fx_responses")
+
     @property
     def responses(self) -> DataFrame:
-        return self._derived("fx_responses").withColumn("headers", parse_header_block(F.col("headers")))
+        return self.raw_responses.withColumn("headers", parse_header_block(F.col("headers")))
 
     @property
     def traffic(self) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palisade.checks.fixtures import values_sql
+from palisade.checks.fixtures import scratch, values_sql
 from palisade.checks.registry import check
 from palisade.checks.sql import BLOCKS, SPACES, lines_of, lit, profile, strip, with_
 from palisade.operators import credentials as cred
@@ -20,6 +20,7 @@ from palisade.rules.secrets import JWT_PAYLOAD, URL_VALUE, URL_VALUE_OF_KEY_LAYE
 from palisade.rules.web import (
     COOKIE_TEXTS, CORS_CREDENTIALS, CSP_RULES, FINGERPRINTS, HEADER_RULES, HSTS_NO_SUBDOMAINS,
 )
+from palisade.sources.captures import read_access_probes, read_responses
 from palisade.sources.files import projects_of
 
 # ------------------------------------------------------------------ response headers
@@ -85,9 +86,27 @@ for _name, _job, _sql in (
     check(_name, with_("heads", select=_sql))(lambda inp, job=_job: job(inp.responses).select(*_COLS))
 
 
-@check("src5_responses", with_("header_rows", select="SELECT project_id, url, name, value FROM header_rows"))
+_HEADER_ROWS = with_("header_rows", select="SELECT project_id, url, name, value FROM header_rows")
+
+
+@check("src5_responses", _HEADER_ROWS)
+def _(inp):
+    """Header blocks, as the reader finds them in files."""
+    folder = f"{scratch(inp.spark)}/responses"
+    inp.raw_responses.write.parquet(folder)
+    return read_responses(inp.spark, folder).select("project_id", "url", F.explode("headers").alias("name", "value"))
+
+
+@check("src5_responses_as_maps", _HEADER_ROWS)
 def _(inp):
-    return inp.responses.select("project_id", "url", F.explode("headers").alias("name", "value"))
+    """Headers as maps, their names in mixed case and repeated in another case, read as JSON with a schema."""
+    folder = f"{scratch(inp.spark)}/responses"
+    pairs = F.transform(F.map_entries("headers"), lambda e: F.struct(F.initcap(e["key"]).alias("key"), e["value"].alias("value")))
+    stale = F.transform(F.map_entries("headers"), lambda e: F.struct(F.upper(e["key"]).alias("key"), F.lit("stale").alias("value")))
+    mixed = F.map_from_entries(F.concat(F.filter(stale, lambda e: e["key"] != F.initcap(e["key"])), pairs))
+    inp.responses.withColumn("headers", mixed).write.json(folder)
+    schema = "project_id string, url string, status int, headers map<string,string>, body string"
+    return read_responses(inp.spark, folder, "json", schema).select("project_id", "url", F.explode("headers").alias("name", "value"))
 
 
 @check("hd6_service_fingerprint", with_("header_rows", select=f"""SELECT project_id, url, service, concat('header: ', h.name) AS via
@@ -318,10 +337,22 @@ def _(inp):
     return probes.probe_grid(*_grid_inputs(inp))
 
 
+@check("jn15_probe_progress", with_("unique_keys", "probe_tables", "fx_probes", select=f"""
+    SELECT t.project_id, t.table_name, 4 * k.n_keys AS n_cells, coalesce(d.n_probed, 0) AS n_probed, 4 * k.n_keys - coalesce(d.n_probed, 0) AS n_left, coalesce(d.n_open, 0) AS n_open
+    FROM probe_tables AS t JOIN (SELECT project_id, count(DISTINCT var) AS n_keys FROM unique_keys GROUP BY project_id) AS k ON k.project_id = t.project_id
+    LEFT JOIN (SELECT p.project_id, p.table_name, count(DISTINCT (p.key_var, p.combo)) AS n_probed, count(DISTINCT (p.key_var, p.combo)) FILTER (p.status = 200 AND p.rows_returned > 0) AS n_open
+        FROM fx_probes AS p JOIN {_COMBO} ON c.combo = p.combo WHERE (p.project_id, p.key_var) IN (SELECT (project_id, var) FROM unique_keys) GROUP BY p.project_id, p.table_name) AS d
+      ON d.project_id = t.project_id AND d.table_name = t.table_name"""))
+def _(inp):
+    return probes.probe_progress(*_grid_inputs(inp), inp.probes)
+
+
 @check("src7_access_probes", with_("fx_probes", select="""SELECT combo, status, count(*) AS probes, sum(rows_returned) AS total_rows
     FROM fx_probes GROUP BY combo, status"""))
 def _(inp):
-    return inp.probes.groupBy("combo", "status").agg(F.count("*").alias("probes"), F.sum("rows_returned").alias("total_rows"))
+    folder = f"{scratch(inp.spark)}/probes"
+    inp.probes.withColumn("note", F.lit("not read")).write.parquet(folder)
+    return read_access_probes(inp.spark, folder).groupBy("combo", "status").agg(F.count("*").alias("probes"), F.sum("rows_returned").alias("total_rows"))
 
 
 def open_sql(direction: str) -> str:
@@ -335,7 +366,7 @@ def open_sql(direction: str) -> str:
              '. service_role omgår RLS og hører UDELUKKENDE i server-side kode.')
            ELSE concat(key_var, ' via [', combo, '] returnerer ', rows_returned, ' rækker fra /', table_name,
              '. Aktiver RLS i Supabase Dashboard → Authentication → Policies.') END AS detail
-      FROM (SELECT *, row_number() OVER (PARTITION BY project_id, table_name, key_var ORDER BY combo_order {direction}) AS r FROM open_cells) WHERE r = 1"""
+      FROM (SELECT *, row_number() OVER (PARTITION BY project_id, table_name, key_var, key_role, is_jwt ORDER BY combo_order {direction}, rows_returned DESC) AS r FROM open_cells) WHERE r = 1"""
 
 
 for _mode, _dir in (("first", "ASC"), ("weakest", "DESC")):

@@ -59,6 +59,18 @@ def _(inp):
     return corpus.corpus_secret_scan(corpus.documents_as_texts(inp.table("documents"))).select(*_SHORT)
 
 
+#: a turn of every fifth conversation shows a secret-shaped line, made at run time from the turn
+_PLANTED = "concat(text, chr(10), 'token = \"', md5(text), substr(md5(concat('t', text)), 1, 8), '\"')"
+_texts("planted", f"""SELECT concat('conv-', role) AS project_id, concat('conv/', conv_id, '/', turn) AS file,
+    CASE WHEN conv_id % 5 = 0 THEN {_PLANTED} ELSE text END AS content FROM conversations""")
+
+
+@check("rs7_planted_conversations", with_("planted_hits", select=f"SELECT project_id, file, line, rule_id, severity, description, {_masked()} AS detail FROM planted_hits"))
+def _(inp):
+    turns = inp.table("conversations").withColumn("text", F.when(F.col("conv_id") % 5 == 0, F.expr(_PLANTED)).otherwise(F.col("text")))
+    return corpus.corpus_secret_scan(corpus.conversations_as_texts(turns)).select(*_SHORT)
+
+
 @check("rs7_corpus_conversations", with_("conv_hits", select=f"SELECT project_id, file, line, rule_id, severity, description, {_masked()} AS detail FROM conv_hits"))
 def _(inp):
     return corpus.corpus_secret_scan(corpus.conversations_as_texts(inp.table("conversations"))).select(*_SHORT)

@@ -265,7 +265,7 @@ def _(inp):
     return code_scan.code_findings(files, stacks.project_stacks(files)).select(*_SHORT)
 
 
-_WD1 = tuple(r for r in CODE_RULES if r.pack in ("csrf", "transport", "hygiene", "timing") and r.scope == "line")
+_WD1 = CODE_RULES
 
 
 @check("wd1_first_hit_per_file", with_("fx_files", CODE_LINES, select=f"""
@@ -322,12 +322,12 @@ def _(inp):
     return leaks.hardcoded_env_values(inp.files, broadcast=False).select(*_SHORT, "env_var", "env_source")
 
 
-_SPREAD = tuple(r for r in CODE_RULES if r.pack in ("csrf", "ssti", "crypto"))
+_SPREAD = CODE_RULES
 
 
-@check("fl1_leak_spread", with_("last_values", LITERAL_LINES, CODE_LINES, select=f"""
+@check("fl1_leak_spread", with_("last_values", LITERAL_LINES, CODE_LINES, DEPS, STACKS, select=f"""
     SELECT project_id, 'env_var' AS kind, env_var AS name, count(DISTINCT file) AS files FROM ({LEAKS_SQL}) GROUP BY project_id, env_var
-    UNION ALL SELECT project_id, 'rule', rule_id, count(DISTINCT file) FROM ({code_findings_sql(_SPREAD, False)}) GROUP BY project_id, rule_id"""))
+    UNION ALL SELECT project_id, 'rule', rule_id, count(DISTINCT file) FROM ({code_findings_sql(_SPREAD)}) GROUP BY project_id, rule_id"""))
 def _(inp):
     files = inp.files
     found = code_scan.code_findings(files, stacks.project_stacks(files), _SPREAD)

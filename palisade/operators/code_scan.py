@@ -41,20 +41,13 @@ def scan_code_lines(files: DataFrame, rules: Sequence[Rule] = CODE_RULES, first_
     if first_only and rules is CODE_RULES and "code_hits" in files.columns:
         found = files.select("project_id", F.col("path").alias("file"), "code_hits")
         return file_hits(found, rules, column="code_hits").select("*", *rule_fields(rules, "rule_order", ("stack",)))
-    files = with_name_parts(files)
     extra = sorted({n for r in rules for n in r.extra_names})
-    is_code = in_profile(CODE)
-    wanted = is_code
-    if extra:
-        wanted = wanted | F.col("name").isin(*extra)
-        # implied by the line above, but in a form that reaches the parquet scan
-        files = files.filter(F.col("ext").isin(*CODE.extensions) | F.col("name").isin(*extra))
-    prepared = (
-        files.filter(wanted)
-        .select("project_id", F.col("path").alias("file"), "name", is_code.alias("_code"), "content")
-    )
-    hits = file_hits(prepared, rules, _applies, first_only)
-    return hits.select("*", *rule_fields(rules, "rule_order", ("stack",))).drop("name", "_code")
+    files = with_name_parts(files).withColumn("_code", in_profile(CODE))
+    # a condition that reaches the parquet scan; the directory test stands beside the hits, or Spark would fold the two into one that does not
+    files = files.filter(F.col("ext").isin(*CODE.extensions) | F.col("name").isin(*extra) if extra else F.col("ext").isin(*CODE.extensions))
+    hits = F.when(F.col("_code") | F.col("name").isin(*extra) if extra else F.col("_code"), hits_column(rules, _applies, first_only))
+    found = files.select("project_id", F.col("path").alias("file"), hits.alias("_hits"))
+    return file_hits(found, rules, column="_hits").select("*", *rule_fields(rules, "rule_order", ("stack",)))
 
 
 def stack_gate(hits: DataFrame, stacks: DataFrame) -> DataFrame:

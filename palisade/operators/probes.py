@@ -33,32 +33,64 @@ def tables_to_probe(projects: DataFrame, references: DataFrame) -> DataFrame:
     return references.select("project_id", F.lower("table_name").alias("table_name")).unionByName(always).distinct()
 
 
-def probe_grid(credentials: DataFrame, tables: DataFrame) -> DataFrame:
-    """Every key of a project on each of its tables with each of four auth combinations (JN-15)."""
+SALTS = 16
+
+
+def probe_grid(credentials: DataFrame, tables: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Every key of a project on each of its tables with each of four auth combinations (JN-15), as a list of what to try.
+
+    The list is as long as its product. Tables of a project are spread over ``salts`` tasks, and its keys go to each of them. What has been
+    tried, and what is left, needs no such list: see ``probe_progress``.
+    """
     combos = F.transform(lit_array(AUTH_COMBOS), lambda c, i: F.struct(i.alias("combo_order"), c.alias("combo")))
-    keys = credentials.select("project_id", F.col("var").alias("key_var"), F.col("role").alias("key_role"), "is_jwt")
-    return (keys.join(tables.select("project_id", "table_name"), "project_id")
+    keys = credentials.select("project_id", F.col("var").alias("key_var"), F.col("role").alias("key_role"), "is_jwt",
+                              F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    spread = tables.select("project_id", "table_name", F.pmod(F.xxhash64("table_name"), F.lit(salts)).cast("int").alias("_salt"))
+    return (keys.join(spread, ["project_id", "_salt"])
             .select("*", F.explode(combos).alias("c")).select("project_id", "key_var", "key_role", "is_jwt",
                                                               "table_name", "c.combo_order", "c.combo"))
 
 
+def probe_progress(credentials: DataFrame, tables: DataFrame, probes: DataFrame) -> DataFrame:
+    """Per project and table the cells of the grid, how many the log has, how many are left, and how many returned rows (JN-15).
+
+    Keys and tables stay apart: a table has four cells per variable of its project, so cells are counted, and only those in the log
+    are looked at.
+    """
+    own = credentials.select("project_id", F.col("var").alias("key_var")).distinct()
+    n_keys = own.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_keys"))
+    tried = (probes.filter(F.col("combo").isin(*AUTH_COMBOS)).groupBy("project_id", "table_name", "key_var", "combo")
+             .agg(F.bool_or((F.col("status") == 200) & (F.col("rows_returned") > 0)).alias("opened"))
+             .join(own, ["project_id", "key_var"], "left_semi"))
+    done = tried.groupBy("project_id", "table_name").agg(F.count(F.lit(1)).alias("n_probed"), F.count_if("opened").alias("n_open"))
+    cells, zero = F.col("n_keys") * len(AUTH_COMBOS), lambda c: F.coalesce(c, F.lit(0))
+    return (tables.select("project_id", "table_name").join(n_keys, "project_id").join(done, ["project_id", "table_name"], "left")
+            .select("project_id", "table_name", cells.alias("n_cells"), zero("n_probed").alias("n_probed"),
+                    (cells - zero("n_probed")).alias("n_left"), zero("n_open").alias("n_open")))
+
+
 def open_table_findings(credentials: DataFrame, tables: DataFrame, probes: DataFrame, mode: str = "first") -> DataFrame:
     """Tables that returned rows, with the auth combination that opened them (JN-16).
 
     ``mode="first"`` reports the first combination that worked in the order of trying, ``"weakest"`` the
     least demanding one.  Only probes that returned rows are joined, on project, table and key; the grid is
     thereby the set of its successful cells and is never written out.
+
+    A variable may hold several tokens. A log with ``key_hash`` (SHA-256 of the token) says which one was tried; without it each
+    role and kind of token of that variable is reported. Of equal cells the one with most rows counts.
     """
     order = F.array_position(lit_array(AUTH_COMBOS), F.col("combo"))
+    by_token = ["key_hash"] if "key_hash" in probes.columns else []
     hits = (probes.filter((F.col("status") == 200) & (F.col("rows_returned") > 0) & (order > 0))
-            .select("project_id", "table_name", "key_var", "combo", "rows_returned", order.alias("combo_order")))
-    keys = credentials.select("project_id", F.col("var").alias("key_var"), F.col("role").alias("key_role"), "is_jwt")
-    cells = (hits.join(keys, ["project_id", "key_var"])
+            .select("project_id", "table_name", "key_var", "combo", "rows_returned", order.alias("combo_order"), *by_token))
+    keys = credentials.select("project_id", F.col("var").alias("key_var"), F.col("role").alias("key_role"), "is_jwt",
+                              *([F.sha2("token", 256).alias("key_hash")] if by_token else [])).distinct()
+    cells = (hits.join(keys, ["project_id", "key_var", *by_token])
              .join(tables.select("project_id", "table_name"), ["project_id", "table_name"], "left_semi"))
-    pick = F.min_by if mode == "first" else F.max_by
-    best = (cells.groupBy("project_id", "table_name", "key_var")
-            .agg(pick(F.struct("combo", "rows_returned", "key_role", "is_jwt"), F.col("combo_order")).alias("b"))
-            .select("project_id", "table_name", "key_var", "b.*"))
+    turn = F.col("combo_order") if mode == "first" else -F.col("combo_order")
+    best = (cells.groupBy("project_id", "table_name", "key_var", "key_role", "is_jwt", *by_token)
+            .agg(F.min_by(F.struct("combo", "rows_returned"), F.struct(turn, -F.col("rows_returned"))).alias("b"))
+            .select("project_id", "table_name", "key_var", "key_role", "is_jwt", "b.*"))
     table, var, combo, rows = F.col("table_name"), F.col("key_var"), F.col("combo"), F.col("rows_returned")
     no_auth, admin = combo == "no-auth", F.col("key_role") == "service_role"
     kind = F.when(F.col("is_jwt"), "JWT").otherwise("API-nøgle")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.checks.fixtures import Inputs
 from palisade.functions.text import numbered_lines
-from palisade.operators import code_scan, credentials, env_scan, http_posture, repo, report, scoring
+from palisade.operators import code_scan, credentials, env_scan, http_posture, probes, repo, report, scoring
 from palisade.operators.occurrences import literal_occurrences
 from palisade.operators.stacks import project_stacks
 from palisade.plans.fleet import Fleet, fleet_findings, fleet_report
@@ -298,3 +298,28 @@ def test_stream_of_exposures_keeps_no_state(spark, tmp_path):
     assert spark.table("exposed").count() == 40
     assert all(not p["stateOperators"] for p in query.recentProgress) and len(query.recentProgress) >= 2
     assert not (tmp_path / "state" / "state").exists()
+
+
+def test_two_tokens_of_one_variable(spark):
+    """Both are reported, always the same way; a log that names the token tells them apart."""
+    service = "x" * 30
+    keys = spark.createDataFrame([("p", "KEY", service, "service_role", True), ("p", "KEY", "y" * 30, "anon", False)], "project_id string, var string, token string, role string, is_jwt boolean")
+    tables = spark.createDataFrame([("p", "users")], "project_id string, table_name string")
+    log = spark.createDataFrame([("p", "users", "KEY", "apikey-only", 200, 3), ("p", "users", "KEY", "apikey-only", 200, 7), ("p", "users", "KEY", "bearer-only", 200, 9)],
+                                "project_id string, table_name string, key_var string, combo string, status int, rows_returned int")
+    got = lambda df: sorted((r.key_role, r.auth_combo, r.rows_returned) for r in df.collect())
+    for parts in (1, 3):
+        assert got(probes.open_table_findings(keys.repartition(parts), tables, log.repartition(parts))) == [("anon", "apikey-only", 7), ("service_role", "apikey-only", 7)]
+    assert got(probes.open_table_findings(keys, tables, log, "weakest")) == [("anon", "bearer-only", 9), ("service_role", "bearer-only", 9)]
+    named = log.withColumn("key_hash", F.sha2(F.lit(service), 256))
+    assert got(probes.open_table_findings(keys, tables, named)) == [("service_role", "apikey-only", 7)]
+
+
+def test_progress_needs_no_grid(spark):
+    keys = spark.range(300).selectExpr("'p' AS project_id", "concat('K', id) AS var", "concat('t', id) AS token", "'anon' AS role", "false AS is_jwt")
+    tables = spark.range(300).selectExpr("'p' AS project_id", "concat('t', id) AS table_name")
+    log = spark.createDataFrame([("p", "t1", "K1", "no-auth", 200, 5), ("p", "t1", "K1", "no-auth", 404, 0), ("p", "t1", "other", "no-auth", 200, 5)],
+                                "project_id string, table_name string, key_var string, combo string, status int, rows_returned int")
+    rows = {r.table_name: (r.n_cells, r.n_probed, r.n_left, r.n_open) for r in probes.probe_progress(keys, tables, log).collect()}
+    assert len(rows) == 300 and rows["t1"] == (1200, 1, 1199, 1) and rows["t2"] == (1200, 0, 1200, 0)
+    assert probes.probe_grid(keys, tables).count() == probes.probe_grid(keys, tables, salts=1).count() == 360_000
