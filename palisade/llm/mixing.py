@@ -4,7 +4,8 @@ Each source is a stream of its documents in hashed order, cut into blocks of equ
 period of H slots has its block j released at floor(j * H / a) and due at ceil((j + 1) * H / a); earliest deadline first picks the
 block of every slot. Shares are whole numbers, so the schedule repeats after H slots: it is worked out once, for a number of
 slots that does not depend on the data, and every block finds its slot by arithmetic. In every prefix of slots a source is less
-than one block away from its weight, until it runs out; its later slots then stay empty and nothing is dropped.
+than one block away from its share, until it runs out; its later slots then stay empty and nothing is dropped. A share is the weight
+rounded to a whole number of the period's slots, one at least, so weights very far apart are met only roughly.
 """
 
 from __future__ import annotations
