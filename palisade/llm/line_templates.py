@@ -47,9 +47,14 @@ def maybe_in(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
     return marked.withColumn("_maybe", held).drop("_word", "_bit", "_bits")
 
 
+def _document() -> Column:
+    """What makes rows one document: id and text. Equal texts of two ids are two documents."""
+    return F.struct("_id", "_text_hash")
+
+
 def template_keys(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
     """``_masked, _template`` of the lines that share a template with different lines."""
-    leaves = lines.groupBy("_leaf").agg(F.min("_masked").alias("a"), F.max("_masked").alias("b"), F.min("_text_hash").alias("c"), F.max("_text_hash").alias("d"))
+    leaves = lines.groupBy("_leaf").agg(F.min("_masked").alias("a"), F.max("_masked").alias("b"), F.min(_document()).alias("c"), F.max(_document()).alias("d"))
     mixed = materialise(leaves.where("a < b AND c < d").select("_leaf"), "leaves")
     chosen = maybe_in(_lines(docs, text), "_leaf", bits_of(mixed, "_leaf")).where("_maybe").select(
         "_leaf", "_masked", "_n", F.transform("_tokens", lambda t, i: F.xxhash64(i, t)).alias("_placed"))
@@ -69,7 +74,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id
     """Every row with its text without recurring lines, and ``n_lines``, ``n_dropped``.
 
     The first line of a template, by id and place, stays; lines of fewer than LEAST_TOKENS tokens always stay. Recurring means in
-    rows that differ in text. Rows equal in id and text share one fate; a null id comes before all others. A null text stays
+    rows that differ in id or text. Rows equal in id and text share one fate; a null id comes before all others. A null text stays
     null, with no lines; a text that loses all its lines becomes empty. The added columns replace columns of the same name. An
     empty table gives an empty table.
     """
@@ -80,7 +85,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id
     lines = lines.join(templates, "_masked", "left").select("_id", "_text_hash", "_at", F.coalesce("_template", "_masked").alias("_template"))
     lines = materialise(lines, "lines")
     recurring = lines.groupBy("_template").agg(
-        F.min(F.struct("_id", "_text_hash", "_at")).alias("_first"), F.min("_text_hash").alias("a"), F.max("_text_hash").alias("b")).where("a < b")
+        F.min(F.struct("_id", "_text_hash", "_at")).alias("_first"), F.min(_document()).alias("a"), F.max(_document()).alias("b")).where("a < b")
     dropped = lines.join(recurring.select("_template", "_first"), "_template").where(
         ~F.struct("_id", "_text_hash", "_at").eqNullSafe(F.col("_first")))
     dropped = dropped.groupBy("_id", "_text_hash").agg(F.collect_set("_at").alias("_dropped"))

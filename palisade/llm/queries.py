@@ -143,7 +143,7 @@ l AS (
            '^[ \t\r\f]+|[ \t\r\f]+$', '', 'g'), '[ \t\r\f]+') AS tokens
     FROM (SELECT doc_id, th, parts, unnest(range(1, len(parts) + 1)) AS pos FROM d)),
 lines AS (SELECT *, len(tokens) AS n, array_to_string(tokens[1:3], ' ') AS head, array_to_string(tokens, ' ') AS masked FROM l WHERE len(tokens) >= 4),
-mixed AS (SELECT n, head FROM lines GROUP BY n, head HAVING min(masked) < max(masked) AND min(th) < max(th)),
+mixed AS (SELECT n, head FROM lines GROUP BY n, head HAVING min(masked) < max(masked) AND min((doc_id, th)) < max((doc_id, th))),
 uniq AS (SELECT n, head, masked, any_value(tokens) AS tokens, count(*) AS c FROM lines SEMI JOIN mixed USING (n, head) GROUP BY n, head, masked),
 total AS (SELECT n, head, sum(c) AS total_lines FROM uniq GROUP BY n, head),
 tok AS (SELECT n, head, masked, c, unnest(range(1, n + 1)) AS i, unnest(tokens) AS t FROM uniq),
@@ -153,7 +153,7 @@ constant AS (
 kept AS (SELECT n, head, masked, count(*) AS k, string_agg(i || ':' || t, ' ' ORDER BY i) AS kept FROM tok SEMI JOIN constant USING (n, head, i, t) GROUP BY n, head, masked),
 templates AS (SELECT masked, n || '/' || head || '/' || kept AS template FROM kept WHERE k >= n * CAST(0.6 AS DOUBLE)),
 keyed AS (SELECT doc_id, th, pos, coalesce(template, 'exact ' || masked) AS template FROM lines LEFT JOIN templates USING (masked)),
-recurring AS (SELECT template, min(doc_id * 1000000 + pos) AS place FROM keyed GROUP BY template HAVING min(th) < max(th)),
+recurring AS (SELECT template, min(doc_id * 1000000 + pos) AS place FROM keyed GROUP BY template HAVING min((doc_id, th)) < max((doc_id, th))),
 gone AS (SELECT doc_id, pos FROM keyed JOIN recurring USING (template) WHERE doc_id * 1000000 + pos <> place),
 cut AS (SELECT doc_id, list(pos) AS ats FROM gone GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(d.parts), 0) AS n_lines, coalesce(len(c.ats), 0) AS n_dropped,

@@ -319,3 +319,11 @@ def test_ids_with_several_texts_are_linked_through_them(spark):
     for rows, want in cases:
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         assert {r["doc_id"]: r["component_id"] for r in shingle_join.shingle_components(df).collect()} == want
+
+
+def test_lines_of_equal_documents_recur(spark):
+    text = "one line of several words here\nand a second line of words"
+    rows = [(1, text), (2, text), (2, text), (3, "a line of its own words"), (None, "a row without any id here"), (None, "a row without any id here")]
+    out = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_dropped"]) for r in out) == [
+        (0, "a row without any id here", 0), (0, "a row without any id here", 0), (1, text, 0), (2, "", 2), (2, "", 2), (3, "a line of its own words", 0)]
