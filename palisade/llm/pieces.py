@@ -22,6 +22,8 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: an unknown character costs this much more than the worst piece
 UNKNOWN_PENALTY = 10.0
+#: characters whose symbols are looked up at once, so that this needs little beside the arrays of whole texts
+SYMBOL_RUN = 1 << 16
 
 
 class Vocabulary(NamedTuple):
@@ -126,15 +128,19 @@ def encode_segments(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.int32), np.zeros(1, np.int64)
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     length = np.array([len(texts[i]) for i in order], np.int64)
-    points = np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le"), np.uint32).astype(np.int64)
-    place = np.minimum(np.searchsorted(v.symbols, points), max(len(v.symbols) - 1, 0))
-    symbol = np.where(v.symbols[place] == points, place + 1, 0) if len(v.symbols) else np.zeros(len(points), np.int64)
+    points = np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le"), np.int32)
+    symbols = v.symbols.astype(np.int32)
+    symbol = np.zeros(len(points), np.int32)
+    for a in range(0, len(points) if len(symbols) else 0, SYMBOL_RUN):
+        run = points[a:a + SYMBOL_RUN]
+        place = np.minimum(np.searchsorted(symbols, run), len(symbols) - 1)
+        symbol[a:a + SYMBOL_RUN] = np.where(symbols[place] == run, place + 1, 0)
     begin = np.cumsum(length) - length
     row = begin + np.arange(len(length))  # one more place per segment
     best = np.full(len(points) + len(length), -np.inf)
     best[row] = 0.0
-    back = np.zeros(len(best), np.int64)
-    chosen = np.full(len(best), -1, np.int64)
+    back = np.zeros(len(best), np.int32)
+    chosen = np.full(len(best), -1, np.int32)
     state = np.zeros(len(length), np.int64)
     live = np.searchsorted(-length, -np.arange(length[0]), "left")  # segments longer than t
     for t in range(int(length[0])):
@@ -164,13 +170,13 @@ def encode_segments(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.nda
     open_ = np.flatnonzero(at > 0)
     while len(open_):
         cell = row[open_] + at[open_]
-        who.append(open_)
-        where.append(at[open_])
+        who.append(open_.astype(np.int32))
+        where.append(at[open_].astype(np.int32))
         what.append(chosen[cell])
         at[open_] -= back[cell]
         open_ = open_[at[open_] > 0]
     who, where, what = np.concatenate(who), np.concatenate(where), np.concatenate(what)
-    who, original = np.array(order)[who], who
+    who, original = np.array(order, np.int32)[who], who
     step = np.lexsort((where, who))
     who, where, what, original = who[step], where[step], what[step], original[step]
     lost = np.flatnonzero(what < 0)
@@ -225,7 +231,7 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
         return compute
 
     added = {"piece_ids": ("array<int>", pa.list_(pa.int32())), "n_pieces": LONG}
-    # the Viterbi arrays take about a hundred bytes a character
+    # the arrays take up to eighty bytes a character
     return with_text_columns(docs, text, added, start, keep, limit=1_000_000)
 
 
@@ -243,7 +249,7 @@ def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "piece_
     def work(batches):
         for batch in batches:
             column = batch.column(place)
-            texts = [None if x is None else decode(x, vocabulary) for x in column.to_pylist()]
+            texts = [decode(x.as_py(), vocabulary) if x.is_valid else None for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return sent.mapInArrow(work, kept.schema.add(out, "string"))
