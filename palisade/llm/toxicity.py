@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.batches import DOUBLE, with_text_columns
+from palisade.llm.line_templates import bits_of, maybe_in
 from palisade.llm.words import ALPHANUMERIC, Words, hash_spans, mix, powers, split_words
 
 GRAMS = (4, 5)
@@ -294,19 +295,43 @@ def unpack(packed: tuple) -> Learner:
     return Learner(ToxicityModel(*packed[0]), packed[1], packed[2])
 
 
-def mean_learner(found: Learner, n: int) -> Learner:
-    """The mean of ``n`` learners from their sum."""
-    m = found.model
-    model = m._replace(one=m.one / np.float32(n), two=m.two / np.float32(n), filters={k: x / np.float32(n) for k, x in m.filters.items()},
-                       offsets={k: x / np.float32(n) for k, x in m.offsets.items()}, out=m.out / np.float32(n), bias=m.bias / n)
-    return Learner(model, {k: x / n for k, x in found.state.items()}, [x / np.float32(n) for x in found.squares])
+Rows = tuple[np.ndarray, np.ndarray]
+#: how many learners; the sums of their small arrays by name; the sums of what changed in both tables and both squares, by row
+Change = tuple[int, dict[str, np.ndarray], list[Rows]]
 
 
-def sum_learners(a: Learner, b: Learner) -> Learner:
-    x, y = a.model, b.model
-    model = x._replace(one=x.one + y.one, two=x.two + y.two, filters={k: x.filters[k] + y.filters[k] for k in WIDTHS},
-                       offsets={k: x.offsets[k] + y.offsets[k] for k in WIDTHS}, out=x.out + y.out, bias=x.bias + y.bias)
-    return Learner(model, {k: a.state[k] + b.state[k] for k in a.state}, [s + t for s, t in zip(a.squares, b.squares, strict=True)])
+def change(before: Learner, after: Learner) -> Change:
+    """What one shard sends on: few rows of the tables change in a pass."""
+    m = after.model
+    small = {f"f{k}": m.filters[k] for k in WIDTHS} | {f"o{k}": m.offsets[k] for k in WIDTHS} | {"out": m.out, "bias": np.float64(m.bias)}
+    rows = []
+    for x, y in ((before.model.one, m.one), (before.model.two, m.two), *zip(before.squares, after.squares, strict=True)):
+        moved = np.flatnonzero((x != y).reshape(len(x), -1).any(1)).astype(np.int32)
+        rows.append((moved, y[moved] - x[moved]))
+    return 1, small | {f"state {k}": x for k, x in after.state.items()}, rows
+
+
+def sum_changes(a: Change, b: Change) -> Change:
+    rows = []
+    for (i, x), (j, y) in zip(a[2], b[2], strict=True):
+        moved, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        total = np.zeros((len(moved), *x.shape[1:]), np.float32)
+        np.add.at(total, place, np.concatenate([x, y]))
+        rows.append((moved, total))
+    return a[0] + b[0], {k: a[1][k] + b[1][k] for k in a[1]}, rows
+
+
+def mean_learner(before: Learner, found: Change) -> Learner:
+    n, small, rows = found
+    tables = []
+    for x, (moved, total) in zip((before.model.one, before.model.two, *before.squares), rows, strict=True):
+        y = x.copy()
+        y[moved] += total / np.float32(n)
+        tables.append(y)
+    mean = {k: x / np.float32(n) for k, x in small.items() if k != "bias"}
+    model = before.model._replace(one=tables[0], two=tables[1], filters={k: mean[f"f{k}"] for k in WIDTHS}, offsets={k: mean[f"o{k}"] for k in WIDTHS},
+                                  out=mean["out"], bias=float(small["bias"] / n))
+    return Learner(model, {k.removeprefix("state "): x for k, x in mean.items() if k.startswith("state ")}, tables[2:])
 
 
 def train_in_shards(rows: DataFrame, shards: int, counts: dict[tuple[bool, int], int]) -> ToxicityModel:
@@ -346,12 +371,11 @@ def train_in_shards(rows: DataFrame, shards: int, counts: dict[tuple[bool, int],
                 use = np.array([i for i, r in enumerate(found) if learns(r)], np.int64)
                 if len(use):
                     own = unpack(sent.value)
-                    own = Learner(own.model._replace(one=own.model.one.copy(), two=own.model.two.copy()), own.state, [x.copy() for x in own.squares])
-                    yield pack(epoch(own, texts, labels, np.random.default_rng([SEED, turn, shard]).permutation(use), RATE, BATCH_DOCS)), 1
+                    copy = Learner(own.model._replace(one=own.model.one.copy(), two=own.model.two.copy()), own.state, [x.copy() for x in own.squares])
+                    yield change(own, epoch(copy, texts, labels, np.random.default_rng([SEED, turn, shard]).permutation(use), RATE, BATCH_DOCS))
 
-        found, n = dealt.mapPartitions(work).treeReduce(lambda a, b: (pack(sum_learners(unpack(a[0]), unpack(b[0]))), a[1] + b[1]), 3)
+        learner = mean_learner(learner, dealt.mapPartitions(work).treeReduce(sum_changes, 3))
         sent.unpersist()
-        learner = mean_learner(unpack(found), n)
     model = learner.model
     sent = spark.sparkContext.broadcast(tuple(model))
 
@@ -387,9 +411,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, text: str =
     """
     marked = labels.where(learn & F.col(label).isin(0, 1)).groupBy(F.col(key)).agg(F.max(label).cast("int").alias("_label"))
     ids = marked.withColumn("_hash", F.xxhash64(F.col(key).cast("string")))
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
-    found = texts.join(ids, key).select("_hash", key, "_label", "_lang", "_text").withColumn("_held", F.pmod(F.xxhash64("_hash"), F.lit(5)) == 0)
-    sums = found.groupBy("_held", "_label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_text")).alias("chars")).collect()
+    own_id = F.col(key).cast("string").alias("_id")
+    texts = docs.where(F.col(text).isNotNull()).select(
+        F.col(key), own_id, F.col(text).cast("string").alias("_text"), F.length(F.col(text).cast("string")).alias("_chars"), F.col(lang).cast("string").alias("_lang"))
+    # texts without a label go before the join, or all documents would be shuffled
+    texts = maybe_in(texts, "_id", bits_of(ids.select(own_id), "_id")).where("_maybe")
+    found = texts.join(ids, key).select("_hash", "_label", "_lang", "_text", "_chars", F.col(key)).withColumn("_held", F.pmod(F.xxhash64("_hash"), F.lit(5)) == 0)
+    sums = found.groupBy("_held", "_label").agg(F.count(F.lit(1)).alias("n"), F.sum("_chars").alias("chars")).collect()
     n, chars = sum(r["n"] for r in sums), sum(r["chars"] for r in sums)
     shards = max(-(-n // shard_documents), -(-chars // shard_chars))
     if shards <= 1:
@@ -398,7 +426,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, text: str =
     counts = {(r["_held"], r["_label"]): r["n"] for r in sums}
     if len({label for _, label in counts}) < 2:
         return blank_model(float(next(label for _, label in counts)))
-    return train_in_shards(found.withColumn("_shard", F.pmod("_hash", F.lit(shards)).cast("int")).drop(key), shards, counts)
+    return train_in_shards(found.withColumn("_shard", F.pmod("_hash", F.lit(shards)).cast("int")).drop(key, "_chars"), shards, counts)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
