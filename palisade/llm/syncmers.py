@@ -7,6 +7,8 @@ Whether a window is an anchor depends on its own symbols alone, so equal passage
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,10 +68,10 @@ def shared_offsets(a: Column, b: Column) -> Column:
         lambda o: o.isNotNull())
 
 
-def with_next_text(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = 1000) -> DataFrame:
+def with_next_text(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = 1000, mark: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows with ``next_text``: the text of the next row by descending ``key`` (nulls last, ties by hash of the text), cyclically.
 
-    Ids are cut into ranges of about ``target`` rows; the width comes from the middle 98 percent of ids, so far-off ids do not
+    ``mark`` is worked out once per text and added as ``mark``, that of the next text as ``next_mark``; it must not be null. Ids are cut into ranges of about ``target`` rows; the width comes from the middle 98 percent of ids, so far-off ids do not
     widen it. A range is one window partition; the last row of each takes the first text of the next range that has rows.
     """
     low, high, n = docs.agg(F.percentile_approx(key, 0.01), F.percentile_approx(key, 0.99), F.count("*")).first()
@@ -82,8 +84,17 @@ def with_next_text(docs: DataFrame, key: str = "doc_id", text: str = "text", tar
     following = ranged.select("_range").distinct().select("_range", F.lead("_range").over(order).alias("_below"), F.max("_range").over(Window.partitionBy()).alias("_top"))
     following = following.select("_range", F.coalesce("_below", "_top").alias("_below")).join(
         firsts.withColumnRenamed("_range", "_below"), "_below").select("_range", "_first")
-    inside = ranged.withColumn("_lead", F.struct(F.lead(text).over(Window.partitionBy("_range").orderBy(*down)).alias("t")))
-    return inside.join(following, "_range").withColumn("next_text", F.coalesce(F.col("_lead")["t"], "_first")).drop("_range", "_tie", "_lead", "_first")
+    inside = Window.partitionBy("_range").orderBy(*down)
+    if mark is not None:
+        # between the window's shuffle and the window, so that marks are neither shuffled nor worked out again for the row before
+        ranged = ranged.repartition("_range").sortWithinPartitions("_range", *down).withColumn("mark", mark(F.col(text)))
+        following = following.withColumn("_first_mark", mark(F.col("_first")))
+        ranged = ranged.withColumn("next_mark", F.lead("mark").over(inside))
+    found = ranged.withColumn("_lead", F.struct(F.lead(text).over(inside).alias("t"))).join(following, "_range")
+    found = found.withColumn("next_text", F.coalesce(F.col("_lead")["t"], "_first"))
+    if mark is not None:
+        found = found.withColumn("next_mark", F.coalesce("next_mark", "_first_mark")).drop("_first_mark")
+    return found.drop("_range", "_tie", "_lead", "_first")
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,12 +104,13 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     text is empty: its fingerprint has no anchors and is like another empty one only. Rows that repeat an id follow each other;
     rows without id come last. A single row is its own next. An empty table gives an empty table; other columns are ignored.
     """
-    rows = with_next_text(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "doc_id", "text")
+    rows = with_next_text(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")),
+                          "doc_id", "text", mark=anchors)
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "mark", "next_mark", edited.alias("edited"))
     # arrays are bound once per row: a projection that used them by name could compute them again for every use
-    marks = F.struct(anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("edited"), anchors(F.col("next_text")).alias("next"))
+    marks = F.struct(F.col("mark").alias("own"), anchors(F.col("edited")).alias("edited"), F.col("next_mark").alias("next"))
     result = let(marks, lambda m: let(
         F.struct(hashes_of(m["own"]).alias("own"), hashes_of(m["edited"]).alias("edited"), hashes_of(m["next"]).alias("next")),
         lambda h: F.struct(

@@ -153,6 +153,19 @@ def test_syncmers_hard_cases(spark):
     assert one["near_next"] == 1.0
 
 
+def test_anchors_of_a_text_serve_the_row_before(spark, monkeypatch):
+    docs = spark.createDataFrame([(i if i % 7 else None, f"text {i % 11} of some words " * (i % 5)) for i in range(90)] + [(3, "again"), (3, "again")], "doc_id long, text string")
+    rows = syncmers.with_next_text(docs, target=8, mark=lambda c: F.struct(F.sha2(c, 256).alias("v"))).collect()
+    assert len(rows) == 92 and all(r["mark"]["v"] == hashlib.sha256(r["text"].encode()).hexdigest() for r in rows)
+    assert all(r["next_mark"]["v"] == hashlib.sha256(r["next_text"].encode()).hexdigest() for r in rows)
+    plain = syncmers.with_next_text(docs, target=8).select("doc_id", "text", "next_text").collect()
+    assert sorted(map(repr, plain)) == sorted(repr(r) for r in syncmers.with_next_text(docs, target=8, mark=F.upper).select("doc_id", "text", "next_text").collect())
+    seen = []
+    monkeypatch.setattr(syncmers, "anchors", lambda c, real=syncmers.anchors: seen.append(str(c)) or real(c))
+    syncmers.fingerprint_edits(docs)
+    assert sorted(seen) == ["Column<'_first'>", "Column<'edited'>", "Column<'text'>"]
+
+
 # shingle join -----------------------------------------------------------------------------------------------------------------
 
 def near_texts(seed, n):
