@@ -9,6 +9,7 @@ trained on; the threshold of a decision is fitted for each language, which is no
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 from typing import NamedTuple
 
@@ -54,37 +55,51 @@ class Batch(NamedTuple):
 
 def rows_of(hashes: np.ndarray, size: int) -> np.ndarray:
     """Two table rows for each hash."""
-    return np.stack([(hashes % np.uint64(size)), (mix(hashes ^ _SECOND) % np.uint64(size))], 1).astype(np.int64)
+    # a remainder by a power of two are its lowest bits
+    rest = (lambda h: h & np.uint64(size - 1)) if size & (size - 1) == 0 else (lambda h: h % np.uint64(size))
+    return np.stack([rest(hashes), rest(mix(hashes ^ _SECOND))], 1).astype(np.int64)
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, a place of each, and which of them stands at every place."""
+    order = np.argsort(hashes)
+    run = hashes[order]
+    new = np.ones(len(run), bool)
+    new[1:] = run[1:] != run[:-1]
+    which = np.empty(len(run), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return run[new], order[new], which
 
 
 def features(texts: list[bytes], size: int) -> Batch:
     found: Words = split_words(texts, ALPHANUMERIC)
     hashes = hash_spans(found.data, found.start, found.end)
-    unique, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+    unique, at, word = distinct(hashes)
     start, length = found.start[at], (found.end - found.start)[at]
-    owner, gram = [np.arange(len(unique))], [unique]
+    # every word's grams stand together: the word itself, its grams by length, its beginnings
+    count = 1 + sum(np.maximum(length - n + 1, 0) for n in GRAMS) + sum((length > n).astype(np.int64) for n in BEGINNINGS)
+    into = np.cumsum(count) - count
+    gram, room = np.zeros(int(count.sum()), np.uint64), into + 1
+    gram[into] = unique
     data = found.data.astype(np.uint64) + np.uint64(1)
     for n in GRAMS:
         long = np.flatnonzero(length >= n)
         if not len(long):
             continue
         count = length[long] - n + 1
-        into = np.cumsum(count) - count
-        place = np.repeat(start[long] - into, count) + np.arange(int(count.sum()))
+        shift = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        place = np.repeat(start[long], count) + shift
         p, value = powers(n), np.full(len(place), np.uint64(n) << np.uint64(32))
         for j in range(n):
             value += data[place + j] * p[j]
-        owner.append(np.repeat(long, count))
-        gram.append(mix(value))
+        gram[np.repeat(room[long], count) + shift] = mix(value)
+        room[long] += count
     for n in BEGINNINGS:
         long = np.flatnonzero(length > n)
         if len(long):
-            owner.append(long)
-            gram.append(mix(hash_spans(found.data, start[long], start[long] + n) + np.uint64(n)))
-    owner, gram = np.concatenate(owner), np.concatenate(gram)
-    order = np.argsort(owner, kind="stable")
-    owner, gram = owner[order], gram[order]
-    return Batch(word, found.first, rows_of(unique, size), rows_of(gram, size), np.searchsorted(owner, np.arange(len(unique))))
+            gram[room[long]] = mix(hash_spans(found.data, start[long], start[long] + n) + np.uint64(n))
+            room[long] += 1
+    return Batch(word, found.first, rows_of(unique, size), rows_of(gram, size), into)
 
 
 def word_vectors(batch: Batch, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -111,7 +126,11 @@ def padded(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def responses(x: np.ndarray, weights: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Filter responses at each place; ``x`` ends with enough padding."""
     n = len(x) - len(weights) + 1
-    return sum(x[o:o + n] @ weights[o] for o in range(len(weights))) + offset
+    z = x[:n] @ weights[0]
+    for o in range(1, len(weights)):
+        z += x[o:o + n] @ weights[o]
+    z += offset
+    return z
 
 
 def logits(batch: Batch, model: ToxicityModel) -> np.ndarray:
@@ -140,10 +159,15 @@ def blank_model(share: float, size: int = SIZE, dims: int = 4, maps: int = 8) ->
 def row_counts(texts: list[bytes], labels: np.ndarray, size: int) -> np.ndarray:
     """Texts of each label that have each row of each table."""
     seen = np.zeros((2, 2, size), np.float32)
-    for text, label in zip(texts, labels, strict=True):
-        f = features([text], size)
-        for t in (0, 1):
-            seen[t, int(label), np.unique(np.concatenate([f.own[:, t], f.gram[:, t]]))] += 1
+    for at in range(0, len(texts), BATCH_DOCS):
+        f = features(texts[at:at + BATCH_DOCS], size)
+        end = np.append(f.into[1:], len(f.gram))
+        for i, label in enumerate(labels[at:at + BATCH_DOCS]):
+            word = np.unique(f.word[f.first[i]:f.first[i + 1]])
+            count = end[word] - f.into[word]
+            gram = np.repeat(f.into[word] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            for t in (0, 1):
+                seen[t, int(label), np.concatenate([f.own[word, t], f.gram[gram, t]])] += 1  # a row that a text has twice counts once
     return seen
 
 
@@ -296,46 +320,98 @@ def unpack(packed: tuple) -> Learner:
 
 
 Rows = tuple[np.ndarray, np.ndarray]
-#: how many learners; the sums of their small arrays by name; the sums of what changed in both tables and both squares, by row
-Change = tuple[int, dict[str, np.ndarray], list[Rows]]
+#: ranges of table rows that are summed apart, and the unit of exact sums: their order is not fixed, and the model must not depend on it
+BLOCKS, UNIT = 16, 2.0 ** -40
+
+
+class Change(NamedTuple):
+    """What one shard sends on: its small arrays by name, and what changed in both tables and both squares, by row."""
+    small: dict[str, np.ndarray]
+    rows: list[Rows]
 
 
 def change(before: Learner, after: Learner) -> Change:
-    """What one shard sends on: few rows of the tables change in a pass."""
+    """Few rows of the tables change in a pass."""
     m = after.model
     small = {f"f{k}": m.filters[k] for k in WIDTHS} | {f"o{k}": m.offsets[k] for k in WIDTHS} | {"out": m.out, "bias": np.float64(m.bias)}
     rows = []
     for x, y in ((before.model.one, m.one), (before.model.two, m.two), *zip(before.squares, after.squares, strict=True)):
         moved = np.flatnonzero((x != y).reshape(len(x), -1).any(1)).astype(np.int32)
         rows.append((moved, y[moved] - x[moved]))
-    return 1, small | {f"state {k}": x for k, x in after.state.items()}, rows
-
-
-def sum_changes(a: Change, b: Change) -> Change:
-    rows = []
-    for (i, x), (j, y) in zip(a[2], b[2], strict=True):
-        moved, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-        total = np.zeros((len(moved), *x.shape[1:]), np.float32)
-        np.add.at(total, place, np.concatenate([x, y]))
-        rows.append((moved, total))
-    return a[0] + b[0], {k: a[1][k] + b[1][k] for k in a[1]}, rows
-
-
-def mean_learner(before: Learner, found: Change) -> Learner:
-    n, small, rows = found
-    tables = []
-    for x, (moved, total) in zip((before.model.one, before.model.two, *before.squares), rows, strict=True):
-        y = x.copy()
-        y[moved] += total / np.float32(n)
-        tables.append(y)
-    mean = {k: x / np.float32(n) for k, x in small.items() if k != "bias"}
+    return Change(small | {f"state {k}": x for k, x in after.state.items()}, rows)
+
+
+def change_blocks(shard: int, found: Change, size: int) -> Iterator[tuple[int, tuple]]:
+    """A change by ranges of rows; the small arrays go with the first."""
+    width = -(-size // BLOCKS)
+    for b in range(BLOCKS):
+        cut = [slice(*np.searchsorted(moved, [b * width, (b + 1) * width])) for moved, _ in found.rows]
+        yield b, (shard, found.small if not b else None, [(moved[c], x[c]) for c, (moved, x) in zip(cut, found.rows, strict=True)])
+
+
+def sum_changes(part: Iterable[tuple[int, tuple]], size: int) -> Iterator[tuple]:
+    """``block, [(shard, small arrays)], [(rows, sums)]`` of each block of a partition, one change after the other."""
+    width = -(-size // BLOCKS)
+    sums: dict[int, tuple[list, list]] = {}
+    for b, (shard, small, rows) in part:
+        smalls, tables = sums.setdefault(b, ([], [(np.zeros(width, bool), np.zeros((width, *x.shape[1:]), np.int64)) for _, x in rows]))
+        if small is not None:
+            smalls.append((shard, small))
+        for (moved, x), (hit, total) in zip(rows, tables, strict=True):
+            hit[moved - b * width] = True
+            total[moved - b * width] += np.rint(x.astype(float) / UNIT).astype(np.int64)
+    for b, (smalls, tables) in sums.items():
+        yield b, smalls, [(np.flatnonzero(hit) + b * width, total[hit]) for hit, total in tables]
+
+
+def mean_learner(before: Learner, found: list[tuple]) -> Learner:
+    """The mean of all shards' learners, from what ``sum_changes`` gives for every block."""
+    smalls = [small for _, small in sorted((x for _, smalls, _ in found for x in smalls), key=lambda x: x[0])]
+    n = len(smalls)
+    tables = [before.model.one.copy(), before.model.two.copy(), *[x.copy() for x in before.squares]]
+    for _, _, rows in found:
+        for x, (moved, total) in zip(tables, rows, strict=True):
+            x[moved] += (total * (UNIT / n)).astype(np.float32)
+    mean = {k: np.asarray(sum(np.asarray(x[k], float) for x in smalls) / n, np.float32) for k in smalls[0] if k != "bias"}
     model = before.model._replace(one=tables[0], two=tables[1], filters={k: mean[f"f{k}"] for k in WIDTHS}, offsets={k: mean[f"o{k}"] for k in WIDTHS},
-                                  out=mean["out"], bias=float(small["bias"] / n))
+                                  out=mean["out"], bias=float(sum(x["bias"] for x in smalls) / n))
     return Learner(model, {k.removeprefix("state "): x for k, x in mean.items() if k.startswith("state ")}, tables[2:])
 
 
+def count_blocks(seen: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Counts by ranges of rows, in the smallest type that holds them."""
+    width = -(-seen.shape[2] // BLOCKS)
+    for b in range(BLOCKS):
+        own = seen[:, :, b * width:(b + 1) * width]
+        yield b, own.astype(np.min_scalar_type(int(own.max(initial=0))))
+
+
+def sum_counts(part: Iterable[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+    sums: dict[int, np.ndarray] = {}
+    for b, own in part:
+        sums[b] = sums[b] + own if b in sums else own.astype(np.int64)
+    yield from sums.items()
+
+
+def held_apart() -> Column:
+    """The fifth of the labelled ids that calibrates."""
+    return F.pmod(F.xxhash64("_hash"), F.lit(5)) == 0
+
+
+def with_labels(part: Iterable) -> Iterator[tuple]:
+    """The texts of a partition with their labels. The row with an id's label comes before its texts; texts of other ids have none."""
+    owner = label = None
+    for r in part:
+        if r["_text"] is None:
+            owner, label = r["_id"], r["_label"]
+        elif r["_id"] == owner:
+            yield r, label
+
+
 def train_in_shards(rows: DataFrame, shards: int, counts: dict[tuple[bool, int], int]) -> ToxicityModel:
-    """Fit on all rows ``_shard, _held, _label, _lang, _text, _hash``, where ``counts`` are those of each fifth and label.
+    """Fit on all rows ``_shard, _hash, _id, _label, _lang, _text``, where ``counts`` are those of each fifth and label.
+
+    A row has a text, or the label of all texts of its id: one shuffle brings texts to their labels and deals them to shards.
 
     Every shard passes once over its texts from the same model, and the mean of the shards' models begins the next round. The counts behind
     the first model are of all texts. What reaches the driver has the size of the model, or of a histogram of scores.
@@ -345,12 +421,13 @@ def train_in_shards(rows: DataFrame, shards: int, counts: dict[tuple[bool, int],
     total = sum(counts.values())
     apart = all(counts.get((held, label)) for held in (False, True) for label in (0, 1))  # else all rows learn and calibrate
     # dealt once: later rounds read the same shuffle files
-    dealt = rows.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_hash", "_text").rdd
+    dealt = rows.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_hash", "_id", F.col("_text").isNotNull(), "_text")
+    dealt = dealt.withColumn("_held", held_apart()).rdd
 
     def by_shard(part):
-        for shard, found in groupby(part, key=lambda r: r["_shard"]):
+        for shard, found in groupby(with_labels(part), key=lambda x: x[0]["_shard"]):
             found = list(found)
-            yield shard, [r["_text"].encode("utf-8", "replace") for r in found], np.array([r["_label"] for r in found], float), found
+            yield shard, [r["_text"].encode("utf-8", "replace") for r, _ in found], np.array([x for _, x in found], float), [r for r, _ in found]
 
     def learns(r) -> bool:
         return not (apart and r["_held"])
@@ -358,10 +435,11 @@ def train_in_shards(rows: DataFrame, shards: int, counts: dict[tuple[bool, int],
     def count(part):
         for _, texts, labels, found in by_shard(part):
             use = [i for i, r in enumerate(found) if learns(r)]
-            yield row_counts([texts[i] for i in use], labels[use], SIZE)
+            yield from count_blocks(row_counts([texts[i] for i in use], labels[use], SIZE))
 
     learned = {label: sum(n for (held, x), n in counts.items() if x == label and not (apart and held)) for label in (0, 1)}
-    seen = dealt.mapPartitions(count).treeReduce(np.add, 3)
+    counted = dict(dealt.mapPartitions(count).partitionBy(BLOCKS).mapPartitions(sum_counts).collect())
+    seen = np.concatenate([counted[b] for b in range(BLOCKS)], 2)
     learner = first_learner(first_model(blank_model(ones / total), seen, learned[1] / (learned[0] + learned[1]), np.random.default_rng(SEED), SMOOTHING))
     for turn in range(EPOCHS):
         sent = spark.sparkContext.broadcast(pack(learner))
@@ -372,20 +450,24 @@ def train_in_shards(rows: DataFrame, shards: int, counts: dict[tuple[bool, int],
                 if len(use):
                     own = unpack(sent.value)
                     copy = Learner(own.model._replace(one=own.model.one.copy(), two=own.model.two.copy()), own.state, [x.copy() for x in own.squares])
-                    yield change(own, epoch(copy, texts, labels, np.random.default_rng([SEED, turn, shard]).permutation(use), RATE, BATCH_DOCS))
+                    after = epoch(copy, texts, labels, np.random.default_rng([SEED, turn, shard]).permutation(use), RATE, BATCH_DOCS)
+                    yield from change_blocks(shard, change(own, after), SIZE)
 
-        learner = mean_learner(learner, dealt.mapPartitions(work).treeReduce(sum_changes, 3))
+        changes = dealt.mapPartitions(work).partitionBy(BLOCKS).mapPartitions(lambda part: sum_changes(part, SIZE))
+        learner = mean_learner(learner, changes.collect())
         sent.unpersist()
     model = learner.model
     sent = spark.sparkContext.broadcast(tuple(model))
 
     def histogram(part):
         fitted = ToxicityModel(*sent.value)
-        for _, texts, _, found in by_shard(part):
+        for _, texts, labels, found in by_shard(part):
             seen = Counter()
-            for text, r in zip(texts, found, strict=True):
-                raw = logits(features([text], SIZE), fitted)[0]
-                seen[(not learns(r) or not apart, r["_lang"], r["_label"], int(np.rint(np.clip(raw, -60.0, 60.0) * BINS)))] += 1
+            for at in range(0, len(texts), BATCH_DOCS):
+                own = slice(at, at + BATCH_DOCS)
+                cells = np.rint(np.clip(logits(features(texts[own], SIZE), fitted), -60.0, 60.0) * BINS)
+                for r, label, cell in zip(found[own], labels[own], cells, strict=True):
+                    seen[(not learns(r) or not apart, r["_lang"], int(label), int(cell))] += 1
             yield seen
 
     scored = dealt.mapPartitions(histogram).treeReduce(lambda a, b: a + b, 3)
@@ -410,13 +492,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, text: str =
     shard is learned from in one go, more in rounds over all shards.
     """
     marked = labels.where(learn & F.col(label).isin(0, 1)).groupBy(F.col(key)).agg(F.max(label).cast("int").alias("_label"))
-    ids = marked.withColumn("_hash", F.xxhash64(F.col(key).cast("string")))
-    own_id = F.col(key).cast("string").alias("_id")
+    own_id = F.col(key).cast("string")
+    ids = marked.where(own_id.isNotNull()).select(own_id.alias("_id"), F.xxhash64(own_id).alias("_hash"), "_label")
     texts = docs.where(F.col(text).isNotNull()).select(
-        F.col(key), own_id, F.col(text).cast("string").alias("_text"), F.length(F.col(text).cast("string")).alias("_chars"), F.col(lang).cast("string").alias("_lang"))
-    # texts without a label go before the join, or all documents would be shuffled
-    texts = maybe_in(texts, "_id", bits_of(ids.select(own_id), "_id")).where("_maybe")
-    found = texts.join(ids, key).select("_hash", "_label", "_lang", "_text", "_chars", F.col(key)).withColumn("_held", F.pmod(F.xxhash64("_hash"), F.lit(5)) == 0)
+        F.col(key), own_id.alias("_id"), F.xxhash64(own_id).alias("_hash"), F.col(text).cast("string").alias("_text"), F.length(F.col(text).cast("string")).alias("_chars"), F.col(lang).cast("string").alias("_lang"))
+    # texts without a label go before the shuffle, or all documents would be shuffled
+    texts = maybe_in(texts, "_id", bits_of(ids, "_id")).where("_maybe")
+    found = texts.join(ids, ["_id", "_hash"]).withColumn("_held", held_apart())
     sums = found.groupBy("_held", "_label").agg(F.count(F.lit(1)).alias("n"), F.sum("_chars").alias("chars")).collect()
     n, chars = sum(r["n"] for r in sums), sum(r["chars"] for r in sums)
     shards = max(-(-n // shard_documents), -(-chars // shard_chars))
@@ -426,7 +508,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, text: str =
     counts = {(r["_held"], r["_label"]): r["n"] for r in sums}
     if len({label for _, label in counts}) < 2:
         return blank_model(float(next(label for _, label in counts)))
-    return train_in_shards(found.withColumn("_shard", F.pmod("_hash", F.lit(shards)).cast("int")).drop(key, "_chars"), shards, counts)
+    columns = [F.pmod("_hash", F.lit(shards)).cast("int").alias("_shard"), "_hash", "_id", "_label", "_lang", "_text"]
+    no_text = {c: F.lit(None).cast("string") for c in ("_lang", "_text")}
+    rows = texts.withColumn("_label", F.lit(None).cast("int")).select(*columns).unionByName(ids.withColumns(no_text).select(*columns))
+    return train_in_shards(rows, shards, counts)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:

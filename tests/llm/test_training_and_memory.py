@@ -52,3 +52,52 @@ def test_encoding_needs_little_memory():
     tracemalloc.stop()
     assert first[-1] == len(ids) == 900_000 and ids[:5].tolist() == ["abcdefghij".index(c) for c in text[:5]]
     assert peak < 90 * 900_000
+
+
+def test_texts_are_shuffled_once_to_their_labels_and_shards(spark, monkeypatch):
+    docs, labels = labelled(spark, 200)
+    taken = {}
+
+    def training(rows, shards, counts):
+        taken.update(plan=rows._jdf.queryExecution().optimizedPlan().toString(), shards=shards, rows=rows.collect(), counts=counts)
+        return toxicity.blank_model(0.1)
+
+    monkeypatch.setattr(toxicity, "train_in_shards", training)
+    docs = docs.union(docs.where("doc_id = 3")).union(spark.createDataFrame([(None, "no id", "en"), (9000, "no label", "en")], docs.schema))
+    toxicity.fit_toxicity(docs, labels, F.col("doc_id") % 4 != 2, shard_documents=50)
+    # the one join is that with the bitmap of ids, which is broadcast
+    assert taken["plan"].count("Join ") == 1 and taken["shards"] == 4
+    rows = sorted(taken["rows"], key=lambda r: (r["_shard"], r["_hash"], r["_id"], r["_text"] is not None, r["_text"]))
+    found = [(int(r["_id"]), label) for shard in range(4) for r, label in toxicity.with_labels([r for r in rows if r["_shard"] == shard])]
+    assert sorted(found) == sorted([(i, int(i % 3 == 0)) for i in range(200) if i % 4 != 2] + [(3, 1)])
+    assert sum(taken["counts"].values()) == len(found) == 151
+
+
+def test_changes_of_shards_are_summed_in_any_order():
+    rng, size = np.random.default_rng(3), 100
+    before = toxicity.first_learner(toxicity.blank_model(0.2, size))
+    changes = []
+    for _ in range(5):
+        after = toxicity.Learner(before.model._replace(one=before.model.one.copy(), bias=float(rng.normal())), {"out": rng.random(24).astype(np.float32)}, [x.copy() for x in before.squares])
+        after.model.one[rng.integers(0, size, 9)] += rng.normal(0, 0.1, (9, 4)).astype(np.float32)
+        changes.append(toxicity.change(before, after))
+    sent = [x for shard, c in enumerate(changes) for x in toxicity.change_blocks(shard, c, size)]
+    means = [toxicity.mean_learner(before, list(toxicity.sum_changes([sent[i] for i in order], size))) for order in (range(len(sent)), rng.permutation(len(sent)))]
+    want = np.zeros((size, 4))
+    for c in changes:
+        want[c.rows[0][0]] += c.rows[0][1] / 5
+    for m in means:
+        assert np.allclose(m.model.one, want, atol=1e-6) and abs(m.model.bias - np.mean([c.small["bias"] for c in changes])) < 1e-9
+    assert np.array_equal(means[0].model.one, means[1].model.one) and np.array_equal(means[0].state["out"], means[1].state["out"])
+
+
+def test_a_text_counts_once_for_each_of_its_rows():
+    texts = [b"", b"one two one", b"two three", b"ONE", b"one " * 70] + [f"word{i} one".encode() for i in range(100)]
+    labels = np.array([i % 2 for i in range(len(texts))], float)
+    seen = toxicity.row_counts(texts, labels, 1 << 16)
+    want = np.zeros_like(seen)
+    for text, label in zip(texts, labels, strict=True):
+        f = toxicity.features([text], 1 << 16)
+        for t in (0, 1):
+            want[t, int(label), np.unique(np.concatenate([f.own[:, t], f.gram[:, t]]))] += 1
+    assert np.array_equal(seen, want) and seen[0, :, toxicity.features([b"one"], 1 << 16).own[0, 0]].sum() == 103
