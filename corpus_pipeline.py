@@ -48,9 +48,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, and whether decoding them gives the text back."""
+    """Piece ids of every text, and whether decoding them gives the text back.
+
+    The piece ids are written before they are decoded: in one plan every task would hold two Python workers.
+    """
     vocabulary = pieces.load_vocabulary()
-    found = pieces.decode_pieces(pieces.encode_pieces(docs, vocabulary), vocabulary)
+    found = pieces.decode_pieces(materialise(pieces.encode_pieces(docs, vocabulary), "pieces"), vocabulary)
     return found.select("doc_id", "lang", "source", "n_chars", "piece_ids", "n_pieces",
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

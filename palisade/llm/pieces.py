@@ -232,7 +232,7 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
 
     added = {"piece_ids": ("array<int>", pa.list_(pa.int32())), "n_pieces": LONG}
     # the arrays take up to eighty bytes a character
-    return with_text_columns(docs, text, added, start, keep, limit=1_000_000)
+    return with_text_columns(docs, text, added, start, keep, limit=500_000)
 
 
 def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:

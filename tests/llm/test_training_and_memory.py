@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from palisade.llm import pieces, toxicity
 
 
@@ -101,3 +102,14 @@ def test_a_text_counts_once_for_each_of_its_rows():
         for t in (0, 1):
             want[t, int(label), np.unique(np.concatenate([f.own[:, t], f.gram[:, t]]))] += 1
     assert np.array_equal(seen, want) and seen[0, :, toxicity.features([b"one"], 1 << 16).own[0, 0]].sum() == 103
+
+
+def test_encoding_and_decoding_do_not_share_a_task(spark):
+    """Two Python workers per task took the pipeline's executors over their memory."""
+    docs = spark.createDataFrame([(1, "some text ▁ here", "en", "a", 16), (2, None, "de", "b", 0), (3, "", None, "b", 0), (3, "again", "fr", None, 5)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    done = corpus_pipeline.encoded(spark, docs, "")
+    assert done._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = {(r["doc_id"], r["n_chars"]): r for r in done.collect()}
+    assert len(rows) == 4 and [rows[k]["round_trip"] for k in ((1, 16), (2, 0), (3, 0), (3, 5))] == [False, True, True, True]
+    assert rows[2, 0]["n_pieces"] == 0 and len(rows[3, 5]["piece_ids"]) == rows[3, 5]["n_pieces"] > 0
