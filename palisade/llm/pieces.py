@@ -9,6 +9,7 @@ advances over all of them in step as numpy arrays.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -126,9 +127,10 @@ def encode_segments(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.nda
     """Piece ids of all segments one after the other, and where each begins (with one more entry)."""
     if not texts:
         return np.zeros(0, np.int32), np.zeros(1, np.int64)
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    length = np.array([len(texts[i]) for i in order], np.int64)
-    points = np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le"), np.int32)
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(-length, kind="stable")
+    length = length[order]
+    points = np.frombuffer("".join(map(texts.__getitem__, order.tolist())).encode("utf-32-le"), np.int32)
     symbols = v.symbols.astype(np.int32)
     symbol = np.zeros(len(points), np.int32)
     for a in range(0, len(points) if len(symbols) else 0, SYMBOL_RUN):
@@ -176,7 +178,7 @@ def encode_segments(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.nda
         at[open_] -= back[cell]
         open_ = open_[at[open_] > 0]
     who, where, what = np.concatenate(who), np.concatenate(where), np.concatenate(what)
-    who, original = np.array(order, np.int32)[who], who
+    who, original = order.astype(np.int32)[who], who
     step = np.lexsort((where, who))
     who, where, what, original = who[step], where[step], what[step], original[step]
     lost = np.flatnonzero(what < 0)
@@ -214,10 +216,16 @@ def encode(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 
 def decode(ids: list[int], v: Vocabulary) -> str:
     """The text of piece ids: byte pieces become bytes, space marks spaces, and the leading space goes. Unknown ids raise."""
-    data = b"".join([v.spelled[i] for i in ids])
+    data = b"".join(map(v.spelled.__getitem__, ids))
     return (data[1:] if data.startswith(b" ") else data).decode("utf-8", "replace")
 
 
+def id_lists(column: pa.ListArray) -> Iterator[list[int] | None]:
+    """The lists of a column as Python lists, without an Arrow object per id."""
+    flat, first, valid = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist(), column.is_valid().to_pylist()
+    return (flat[a:b].tolist() if ok else None for a, b, ok in zip(first[:-1], first[1:], valid, strict=True))
+
+
 def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows with ``piece_ids`` and ``n_pieces``. A null or empty text has no pieces.
 
@@ -248,8 +256,7 @@ def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "piece_
 
     def work(batches):
         for batch in batches:
-            column = batch.column(place)
-            texts = [decode(x.as_py(), vocabulary) if x.is_valid else None for x in column]
+            texts = [decode(x, vocabulary) if x is not None else None for x in id_lists(batch.column(place))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return sent.mapInArrow(work, kept.schema.add(out, "string"))

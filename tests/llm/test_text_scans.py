@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,11 @@ def test_pieces_hard_cases(spark, vocabulary):
     assert pieces.encode_pieces(no_documents(spark), vocabulary).count() == 0
 
 
+def test_lists_of_ids_are_those_of_the_column():
+    column = pa.array([[9], [1, 2], None, [], [3]], pa.list_(pa.int32()))
+    assert [list(pieces.id_lists(c)) for c in (column, column.slice(1, 3), column.slice(5))] == [column.to_pylist(), [[1, 2], None, []], []]
+
+
 def test_pieces_query_round_trips(spark):
     rows = queries.SPARK["op4_sentence_pieces"](spark, SF)
     assert rows.count() == 200 and rows.where("NOT round_trip").count() == 0
